@@ -11,8 +11,8 @@ t as (select plan_id::bigint as plan_id, class_idx::bigint as class_idx,
 select t.plan_id, t.class_idx from t left join n on n.class_idx = t.class_idx where coalesce(n.n, 0) < t.wanted""",
     "p5_found": """
 with recursive named as (
-  select nullif(trim(lower(regexp_extract(audio_path, '([^/\\\\]*)$', 1))), '') as file,
-         nullif(trim(lower(regexp_extract(annot_path, '([^/\\\\]*)$', 1))), '') as annot from selmap),
+  select nullif(lower(regexp_replace(regexp_extract(audio_path, '([^/\\\\]*)$', 1), '^[\\s\u00a0]+|[\\s\u00a0]+$', '', 'g')), '') as file,
+         nullif(lower(regexp_replace(regexp_extract(annot_path, '([^/\\\\]*)$', 1), '^[\\s\u00a0]+|[\\s\u00a0]+$', '', 'g')), '') as annot from selmap),
 links as (select distinct file, annot from named where file is not null and annot is not null),
 steps as (select distinct a.file as a, b.file as b from links a join links b on a.annot = b.annot),
 reach(a, b) as (select a, b from steps union select r.a, s.b from reach r join steps s on r.b = s.a),
