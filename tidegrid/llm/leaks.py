@@ -160,22 +160,15 @@ class ItemIndex:
 
 @lru_cache(maxsize=100_000)
 def misspelt(a: str, b: str) -> bool:
-    """Could one word be a slip for the other: up to two edits, one in short words; any character for another."""
+    """Could one word be a slip for the other: one letter wrong, missing, too many or swapped."""
     if len(a) == 1 and len(b) == 1:
         return True
-    most = 2 if max(len(a), len(b)) >= 5 else 1
-    if abs(len(a) - len(b)) > most:
+    if abs(len(a) - len(b)) > 1:
         return False
-    older, old = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            cost = min(old[j] + 1, new[j - 1] + 1, old[j - 1] + (x != y))
-            if older is not None and j > 1 and x == b[j - 2] and y == a[i - 2]:
-                cost = min(cost, older[j - 2] + 1)
-            new.append(cost)
-        older, old = old, new
-    return old[-1] <= most
+    k = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    if len(a) == len(b):
+        return a[k + 1 :] == b[k + 1 :] or a[k : k + 2] == b[k : k + 2][::-1] and a[k + 2 :] == b[k + 2 :]
+    return a[k + 1 :] == b[k:] if len(a) > len(b) else a[k:] == b[k + 1 :]
 
 
 def _search(documents: DataFrame, rows: list) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegrid.llm import byte_bpe, canonical, quota_sample, related_splits, score_cutoff, split_overlap
+from tidegrid.llm import byte_bpe, canonical, leaks, quota_sample, related_splits, score_cutoff, sentences, split_overlap
 from tidegrid.store import broadcast_if_small, table
 
 
@@ -68,4 +68,16 @@ def p7_ids(spark, d):
     return byte_bpe.encode_corpus(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_unmatched, p4_found, p4_report, p4_sample, p5_found, p5_assign, p5_report, p6_found, p7_ids)}
+def p8_found(spark, d):
+    return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_report(spark, d):
+    return leaks.leak_report(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_found(spark, d):
+    return sentences.sentence_units(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_unmatched, p4_found, p4_report, p4_sample, p5_found, p5_assign, p5_report, p6_found, p7_ids, p8_found, p8_report, p9_found)}
