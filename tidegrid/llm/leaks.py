@@ -25,7 +25,6 @@ import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,11 +54,6 @@ def folded_tokens(text: str) -> list[str]:
     return _TOKEN.findall(plain)
 
 
-@lru_cache(maxsize=200_000)
-def _hash(token: str) -> int:
-    return zlib.crc32(token.encode())
-
-
 def passage_length(lang: str | None, tokens: list[str]) -> int:
     """Tokens that make a passage: characters where most tokens are characters."""
     single = sum(1 for t in tokens if _CHAR.match(t))
@@ -68,7 +62,7 @@ def passage_length(lang: str | None, tokens: list[str]) -> int:
 
 def shingles(tokens: list[str]) -> np.ndarray:
     """Hashes of neighbouring token pairs."""
-    h = np.fromiter((_hash(t) for t in tokens), np.uint64, len(tokens))
+    h = np.fromiter((zlib.crc32(t.encode()) for t in tokens), np.uint64, len(tokens))
     with np.errstate(over="ignore"):
         x = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
         x ^= x >> np.uint64(31)
@@ -158,7 +152,6 @@ class ItemIndex:
         return False
 
 
-@lru_cache(maxsize=100_000)
 def misspelt(a: str, b: str) -> bool:
     """Could one word be a slip for the other: one letter wrong, missing, too many or swapped."""
     if len(a) == 1 and len(b) == 1:
