@@ -547,3 +547,80 @@ def aug_chain(spark, d):
     """Ramp and echo, each for half of the rows, with drawn values."""
     steps = [(0.5, lambda c, u: augment.ramp_volume(c, u * 12 - 6)), (0.5, lambda c, u: augment.add_echo(c, u * 0.2 + 0.05, F.lit(-15.0), FS))]
     return inputs.waves(spark, d).select("vec_id", _ROUND(augment.chain(F.col("samples"), F.col("vec_id"), 42, steps)).alias("x"))
+
+
+# ---- scoring ----
+
+
+def _fixed_model():
+    import numpy as np
+
+    from tidegrid.plans.models import LinearModel
+
+    k, i = np.arange(3)[:, None], np.arange(64)[None]
+    return LinearModel(((k * 64 + i) % 7 - 3) / 4.0, np.array([0.0, 0.5, -0.5]), ["a", "b", "c"])
+
+
+@query("""with z as (select vec_id, k as class_idx, list_sum(list_transform(range(0, 64), lambda i: ((k * 64 + i) % 7 - 3) / 4.0::double * x[i + 1])) + (case k when 1 then 0.5 when 2 then -0.5 else 0 end) as z from wave, (select unnest(range(0, 3)) as k) t)
+select vec_id, class_idx::int as class_idx, round(1 / (1 + exp(-z)), 6) as score from z""")
+def linear_score(spark, d):
+    from tidegrid.plans import models
+
+    scored = inputs.waves(spark, d).withColumn("scores", models.scorer(spark, _fixed_model())(F.col("samples")))
+    return models.score_rows(scored, ["vec_id"]).withColumn("score", F.round("score", 6))
+
+
+# ---- streams, drained to a table ----
+
+
+def drain(spark, stream, name: str, mode: str = "append"):
+    """Run a stream over what is there and return its rows.
+
+    Each micro-batch is written to the shared folder, and the rows are read back from there.
+    """
+    import uuid
+
+    from tidegrid.store import shared_root
+
+    root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    q = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", root + "/state").option("path", root + "/rows").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(root + "/rows")
+
+
+def _event_stream(spark, d):
+    """Events as a stream, with a last event far ahead that closes all windows."""
+    events = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+    last = events.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("interval 400 days")).alias("ts"), F.lit(-1).cast("bigint").alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"))
+    import uuid
+
+    from tidegrid.store import shared_root
+
+    folder = f"{shared_root(spark)}/events-{uuid.uuid4().hex[:12]}"
+    events.write.parquet(folder)
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1000).parquet(folder)
+    return source, last, folder
+
+
+@query("select strftime(time_bucket(interval '1 day', ts), '%Y-%m-%d %H:%M:%S') as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")
+def stream_tumbling(spark, d):
+    """Daily counts per event type over a stream of the events."""
+    from tidegrid.streaming import streams
+
+    source, last, folder = _event_stream(spark, d)
+    last.write.mode("append").parquet(folder)
+    out = drain(spark, streams.tumbling_counts(source, "ts", "1 day", ["event_type"]), "tumbling").filter("event_type <> 'end'")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""with g as (select user_id, ts, value, case when ts - lag(ts) over (partition by user_id order by ts) < interval '12 hours' then 0 else 1 end as new from events),
+s as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as part from g)
+select strftime(min(ts), '%Y-%m-%d %H:%M:%S') as begin, user_id, count(*) as n, max(value) as top from s group by user_id, part""")
+def stream_streaks(spark, d):
+    """Runs of events of a user that lie less than 12 hours apart, over a stream of the events."""
+    from tidegrid.streaming import streams
+
+    source, last, folder = _event_stream(spark, d)
+    last.write.mode("append").parquet(folder)
+    out = drain(spark, streams.live_streaks(source, "ts", "12 hours", ["user_id"]), "streaks").filter("user_id >= 0")
+    return out.select(F.date_format("begin", "yyyy-MM-dd HH:mm:ss").alias("begin"), "user_id", "n", "top")
