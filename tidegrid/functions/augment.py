@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidegrid.functions.signal import by_length
+from tidegrid.functions.signal import by_length, let
 from tidegrid.functions.spectral import on_spectrograms, resize
 
 
@@ -28,7 +28,8 @@ def ramp_volume(clip: Column, db: Column) -> Column:
     factor = F.pow(F.lit(10.0), -F.abs(db) / 20)
     first, last = F.when(db >= 0, factor).otherwise(1.0), F.when(db >= 0, F.lit(1.0)).otherwise(factor)
     steps = F.greatest(F.size(clip) - 1, F.lit(1))
-    return F.transform(clip, lambda v, i: v * (first + (last - first) * i / steps))
+    ends = F.struct(first.alias("a"), ((last - first) / steps).alias("d"))
+    return let(ends, lambda e: F.transform(clip, lambda v, i: v * (e["a"] + e["d"] * i)))
 
 
 def add_echo(clip: Column, delay_s: Column, level_db: Column, fs: float, inverted: Column | None = None) -> Column:
@@ -39,7 +40,7 @@ def add_echo(clip: Column, delay_s: Column, level_db: Column, fs: float, inverte
         scale = F.when(inverted, -scale).otherwise(scale)
     shift = F.least(F.rint(delay_s * fs).cast("int"), F.size(clip))
     late = F.concat(F.array_repeat(F.lit(0.0), shift), F.slice(clip, F.lit(1), F.size(clip) - shift))
-    return F.zip_with(clip, late, lambda a, b: a + scale * b)
+    return let(scale, lambda k: F.zip_with(clip, late, lambda a, b: a + k * b))
 
 
 def alter_distance(spec: Column, db: Column) -> Column:
@@ -133,6 +134,12 @@ def sometimes(key: Column, seed: int, probability: float, changed: Column, plain
 
 def chain(clip: Column, key: Column, seed: int, steps: list[tuple[float, Callable[[Column, Column], Column]]]) -> Column:
     """Apply each (probability, function of (value, draw)) in turn, with a draw of its own."""
+
+
+    def staged(i: int, probability: float, step):
+        return lambda c: F.when(uniform(key, seed, f"apply{i}") <= probability, step(c, uniform(key, seed, f"value{i}"))).otherwise(c)
+
+    # each stage is bound once, so that a chain costs the sum of its stages
     for i, (probability, step) in enumerate(steps):
-        clip = F.when(uniform(key, seed, f"apply{i}") <= probability, step(clip, uniform(key, seed, f"value{i}"))).otherwise(clip)
+        clip = let(clip, staged(i, probability, step))
     return clip

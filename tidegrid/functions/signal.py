@@ -15,13 +15,19 @@ from pyspark.sql import functions as F
 SILENCE = 1e-24
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also where the body uses it inside lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalize_clip(clip: Column) -> Column:
     """Mean removed, then divided by the largest magnitude (guarded)."""
-    x = F.transform(clip, lambda v: v.cast("double"))
-    mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x)
-    centred = F.transform(x, lambda v: v - mean)
-    peak = F.greatest(F.array_max(F.transform(centred, lambda v: F.abs(v))), F.lit(SILENCE))
-    return F.when(F.size(clip) > 0, F.transform(centred, lambda v: v / peak)).otherwise(x)
+    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x)
+    peak = lambda x: F.greatest(F.array_max(F.transform(x, lambda v: F.abs(v))), F.lit(SILENCE))
+    scaled = lambda c: let(peak(c), lambda p: F.transform(c, lambda v: v / p))
+    whole = lambda x: let(mean(x), lambda m: let(F.transform(x, lambda v: v - m), scaled))
+    as_double = F.transform(clip, lambda v: v.cast("double"))
+    return F.when(F.size(clip) > 0, let(as_double, whole)).otherwise(as_double)
 
 
 def float_to_pcm(clip: Column, bits: int = 16) -> Column:
@@ -122,6 +128,22 @@ def by_length(arrays: pd.Series, kernel) -> pd.Series:
     return pd.Series(out)
 
 
+def normalize_batch(x: np.ndarray) -> np.ndarray:
+    """``normalize_clip`` for rows of samples."""
+    x = x - x.mean(1, keepdims=True)
+    return x / np.maximum(np.abs(x).max(1, keepdims=True), SILENCE)
+
+
+def normalizer():
+    """Column function like ``normalize_clip``, to be chained with other Python kernels in one pass."""
+
+    @F.pandas_udf("array<double>")
+    def run(clips: pd.Series) -> pd.Series:
+        return by_length(clips, normalize_batch)
+
+    return run
+
+
 def zero_phase_filter(order: int, edges, kind: str, fs: float):
     """Column function: zero-phase Butterworth filter of array<double>."""
     sos = butterworth(order, edges, kind, fs)

@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tidegrid.functions.signal import by_length
+from tidegrid.functions.signal import by_length, normalize_batch
 
 KINDS = ("spec", "spec_db", "spec_dbfs", "spec_pcen", "melspec", "melspec_db", "melspec_dbfs", "melspec_pcen")
 
@@ -199,12 +199,18 @@ def to_image(x: np.ndarray, palette: np.ndarray, vmin=None, vmax=None, size: tup
     return image
 
 
-def spectrogram(s: SpectralSettings):
-    """Column function: array<double> clip to array<array<double>> [frequency][time]."""
+def spectrogram(s: SpectralSettings, normalize: bool = False):
+    """Column function: array<double> clip to array<array<double>> [frequency][time].
+
+    With ``normalize`` clips first lose their mean and are divided by their (guarded) peak.
+    """
+
+    def prepared(x: np.ndarray) -> np.ndarray:
+        return represent(normalize_batch(x) if normalize else x, s)
 
     @F.pandas_udf("array<array<double>>")
     def run(clips: pd.Series) -> pd.Series:
-        return by_length(clips, lambda x: [[row for row in clip] for clip in represent(x, s)])
+        return by_length(clips, lambda x: [[row for row in clip] for clip in prepared(x)])
 
     return run
 

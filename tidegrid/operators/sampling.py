@@ -50,5 +50,5 @@ def class_weights(rows: DataFrame, class_col: str) -> DataFrame:
 
 def one_hot(labels: Column) -> Column:
     """1 at the first of the largest labels, 0 elsewhere; null stays null."""
-    top = F.array_position(labels, F.array_max(labels))
-    return F.transform(labels, lambda x, i: F.when(i == top - 1, 1.0).otherwise(0.0).cast("float"))
+    hot = lambda top: F.transform(labels, lambda x, i: F.when(i == top - 1, 1.0).otherwise(0.0).cast("float"))
+    return F.element_at(F.transform(F.array(F.array_position(labels, F.array_max(labels))), hot), 1)

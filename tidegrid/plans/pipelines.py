@@ -27,7 +27,7 @@ def channel_clips(waves: DataFrame, s: ClipSettings) -> DataFrame:
         order, edges, kind = s.filterspec
         x = signal.zero_phase_filter(order, edges, kind, s.fs)(x)
     clips = segment.cut_clips(waves.withColumn("samples", x), s, ["file", "channel"])
-    return clips.withColumn("clip", signal.normalize_clip(F.col("clip"))) if s.normalize else clips
+    return clips.withColumn("clip", signal.normalizer()(F.col("clip"))) if s.normalize else clips
 
 
 def prepare(waves: DataFrame, annotations: DataFrame, classes: DataFrame, s: ClipSettings, remap: DataFrame | None = None, min_fraction: float = 1.0, centralized: bool = False, max_nonmatch: float | None = None, salvage: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -71,7 +71,7 @@ def prepare(waves: DataFrame, annotations: DataFrame, classes: DataFrame, s: Cli
         off_grid = per_clip.join(clips.select("file", "channel", "clip_start"), ["file", "channel", "clip_start"], "left_anti").join(waves.select("file", "channel", "samples"), ["file", "channel"])
         cut = F.slice("samples", (F.col("clip_start") + 1).cast("int"), F.lit(s.length))
         cut = F.transform(cut, lambda v: v.cast("double"))
-        off_grid = off_grid.withColumn("clip", signal.normalize_clip(cut) if s.normalize else cut).drop("samples")
+        off_grid = off_grid.withColumn("clip", signal.normalizer()(cut) if s.normalize else cut).drop("samples")
         out = regular.unionByName(off_grid)
     else:
         out = per_clip.join(clips, ["file", "channel", "clip_start"])
@@ -137,8 +137,7 @@ class SpectralFeeder(Feeder):
         self.settings, self.normalize = settings, normalize
 
     def transform(self, clip: Column) -> Column:
-        clip = signal.normalize_clip(clip) if self.normalize else clip
-        return F.flatten(spectral.spectrogram(self.settings)(clip))
+        return F.flatten(spectral.spectrogram(self.settings, self.normalize)(clip))
 
 
 def recognize(spark: SparkSession, clips: DataFrame, model, s: ClipSettings, threshold: float | None = None, scale: bool = False, reject: list[int] | None = None, nonmax: bool = False, squeeze_s: float | None = None, features: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:

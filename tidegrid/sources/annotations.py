@@ -135,7 +135,7 @@ def read_annotations(spark: SparkSession, root: str, rows_of: Callable[[str], It
                 except Exception as x:  # a bad file is reported, not raised
                     own = [{"annot_path": path, "status": f"{type(x).__name__}: {x}"}]
                 if own:
-                    yield pd.DataFrame(own).reindex(columns=columns).astype({"row_no": "Int32", "channel": "Int32"})
+                    yield pd.DataFrame({c: pd.Series([r.get(c) for r in own], dtype=object) for c in columns})
 
     return files.mapInPandas(run, SCHEMA)
 

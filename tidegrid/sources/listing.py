@@ -27,7 +27,10 @@ def _escaped(text: str) -> str:
 
 
 def list_files(spark: SparkSession, root: str, endings: tuple[str, ...] = AUDIO_ENDINGS, recursive: bool = True) -> DataFrame:
-    """(path, size, modified) of the files below ``root`` with one of the endings; path is relative."""
+    """(path, size, modified) of the files below ``root`` with one of the endings; path is relative.
+
+    Files without content are not listed.
+    """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root).select("path", "length", "modificationTime")
     rows = rows.select(relative_to(F.col("path"), root).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     return rows.filter(" or ".join(f"endswith(path, '{e}')" for e in endings)) if endings else rows

@@ -67,6 +67,8 @@ def index_streaks(scores: DataFrame, clip_seconds: float, late: str = "10 minute
         known = [(c["idx"], c["score"]) for c in state.get[0]] if state.exists else []
         anchor: tuple[int, float] | None = None
         for batch in batches:
+            if not len(batch):
+                continue
             known = _merge(known, [(int(i), float(s)) for i, s in zip(batch["clip_idx"], batch["score"], strict=True)])
             at = batch["ts"].astype("int64").idxmax()
             anchor = (int(batch.loc[at, "clip_idx"]), batch.loc[at, "ts"].timestamp() * 1000)
