@@ -22,6 +22,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegrid.store import broadcast_if_small, durable
 
@@ -85,12 +86,12 @@ def deletions(token: str, n: int) -> set[str]:
     return found
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _tokens(values: pd.Series) -> pd.Series:
     return values.map(normal_tokens)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _joined_tokens(values: pd.Series) -> pd.Series:
     """What a tag offers besides its words: neighbours written apart, and all of it as one word."""
 
@@ -101,17 +102,17 @@ def _joined_tokens(values: pd.Series) -> pd.Series:
     return values.map(lambda t: joins(list(t)))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _typed_deletions(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda t: sorted(deletions(t, 0 if any(c.isdigit() for c in t) or len(t) > MAX_TOKEN + MAX_EDITS else MAX_EDITS)))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _known_deletions(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda t: sorted(deletions(t, allowed_edits(t))))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _distance(typed: pd.Series, known: pd.Series) -> pd.Series:
     return pd.Series([d if (d := edit_distance(a, b)) <= allowed_edits(b) else None for a, b in zip(typed, known, strict=True)], dtype="Int32")
 
