@@ -183,9 +183,9 @@ def salvage_clips(spark, d):
 # ---- scores to detections ----
 
 
-@query("select file, channel, clip_idx, class_idx, round(greatest(0, (score - 1.0::double / 61) / (1 - 1.0::double / 61)), 6) as score from live")
+@query("select file, channel, clip_idx, class_idx, round(greatest(0, (score - 1.0::double / 61) / (1 - 1.0::double / 61)), 4) as score from live")
 def score_scale(spark, d):
-    return streaks.live_scores(inputs.scores(spark, d)).select("file", "channel", "clip_idx", "class_idx", F.round(streaks.scaled_score(F.col("score"), 61), 6).alias("score"))
+    return streaks.live_scores(inputs.scores(spark, d)).select("file", "channel", "clip_idx", "class_idx", F.round(streaks.scaled_score(F.col("score"), 61), 4).alias("score"))
 
 
 @query("select * from live where score >= 0.5")
