@@ -45,6 +45,6 @@ def test_nulls_reversed_empty_and_hot_key(spark, rows):
 
 
 def test_annotations_round_and_ignore_extra_columns(spark, rows):
-    data = [(1, "f", 0, 1.0000000001, 2.0, "x", "p"), (1, "f", 0, 1.0000000001, 2.0, "x", "q"), (2, "f", 0, 2.0000000002, 2.0, "x", None), (3, "f", 0, 3.0, 2.5, "x", ""), (4, "f", None, 1.0, 2.0, "x", ""), (5, "f", 0, float("nan"), 2.0, "x", "")]
+    data = [(1, "f", 0, 1.0000000001, 2.0, "x", "p"), (1, "f", 0, 1.0000000001, 2.0, "x", "q"), (2, "f", 0, 2.0000000002, 2.0, "x", None), (3, "f", 0, 3.0, 2.5, "x", ""), (4, "f", None, 1.0, 2.0, "x", ""), (5, "f", 0, float("nan"), 2.0, "x", ""), (6, "f", 0, 1.0, float("inf"), "x", "")]
     df = spark.createDataFrame(data, "annot_id long, file string, channel int, begin_s double, end_s double, label string, kind string")
     assert rows(annotated_periods(df)) == [("f", 0, "x", "period", 1000, 2000)]

@@ -132,3 +132,15 @@ def test_assets(tmp_path):
     assert assets.read_settings(str(tmp_path / "c.ini"), template) == {"DATA": {"fs": 100, "band": (1, 2), "name": "plain", "more": 0.5}}
     with pytest.raises(ValueError):
         assets.read_settings(str(tmp_path / "c.ini"), {"DATA": {"fs": (int, ...)}})
+
+
+def test_registered_source(spark, tmp_path):
+    from tidegrid.sources.datasource import AnnotationSource
+
+    (tmp_path / "good.txt").write_text(table())
+    (tmp_path / "bad.txt").write_text("x\ny\n")
+    spark.dataSource.register(AnnotationSource)
+    df = spark.read.format("annotations").option("kind", "selections").load(str(tmp_path))
+    rows = df.orderBy("annot_path", "row_no").collect()
+    assert [r.annot_path for r in rows] == ["bad.txt"] + ["good.txt"] * 5 and rows[0].status is not None
+    assert times(r.asDict() for r in rows[1:]) == ROWS

@@ -20,7 +20,7 @@ from tidegrid.operators.segment import ClipSettings
 
 def sample_annotations(annotations: DataFrame, fs: int) -> DataFrame:
     """(annot_id, file, channel, label, a0, a1): first and last sample, seconds rounded half-even."""
-    own = annotations.select("annot_id", "file", "channel", "label", F.rint(F.col("begin_s") * fs).cast("bigint").alias("a0"), F.rint(F.col("end_s") * fs).cast("bigint").alias("a1"))
+    own = annotations.select("annot_id", "file", "channel", "label", F.rint(F.col("begin_s") * fs).try_cast("bigint").alias("a0"), F.rint(F.col("end_s") * fs).try_cast("bigint").alias("a1"))
     own = own.dropna().filter("a1 >= a0")
     return own.groupBy("annot_id").agg(F.max(F.struct("file", "channel", "label", "a0", "a1")).alias("a")).select("annot_id", "a.*")
 

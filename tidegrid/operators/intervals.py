@@ -95,7 +95,7 @@ def _join_bitmaps(n_keys: int):
 def shard_bitmaps(df: DataFrame, keys: list[str], begin: Column, end: Column, shard_bits: int = SHARD_BITS) -> DataFrame:
     """Run bitmaps (keys, shard, lo, hi): ``lo``/``hi`` are the first/last cells of the runs."""
     size = 1 << shard_bits
-    cells = df.select(*keys, (begin.cast("bigint") * 2).alias("__lo"), (end.cast("bigint") * 2).alias("__hi")).dropna()
+    cells = df.select(*keys, (begin * 2).alias("__lo"), (end * 2).alias("__hi")).dropna()
     cells = cells.filter("__hi >= __lo")
     shards = F.sequence(F.expr(f"__lo div {size} - if(__lo % {size} < 0, 1, 0)"), F.expr(f"__hi div {size} - if(__hi % {size} < 0, 1, 0)"))
     cells = cells.select(*keys, F.explode(shards).alias("__shard"), "__lo", "__hi")
@@ -149,10 +149,11 @@ def periods_and_gaps(df: DataFrame, keys: list[str], begin: Column, end: Column,
 def annotated_periods(annotations: DataFrame) -> DataFrame:
     """Periods and gaps in milliseconds of each (file, channel, label).
 
-    Times are rounded to the nearest millisecond before anything is compared. Deliveries of one
+    Times are rounded to the nearest millisecond before anything is compared; times that are not
+    finite numbers count as null. Deliveries of one
     ``annot_id`` repeat the same values, and a union takes a repeated interval once, so they need
     no shuffle of their own.
     """
-    ms = lambda c: F.rint(F.col(c) * 1000).cast("bigint")
-    out = periods_and_gaps(annotations.filter(~F.isnan("begin_s") & ~F.isnan("end_s")), ["file", "channel", "label"], ms("begin_s"), ms("end_s"))
+    ms = lambda c: F.rint(F.col(c) * 1000).try_cast("bigint")
+    out = periods_and_gaps(annotations, ["file", "channel", "label"], ms("begin_s"), ms("end_s"))
     return out.select("file", F.col("channel").cast("bigint").alias("channel"), "label", "kind", F.col("begin").alias("begin_ms"), F.col("end").alias("end_ms"))
