@@ -21,7 +21,10 @@ def let(value: Column, body) -> Column:
 
 
 def normalize_clip(clip: Column) -> Column:
-    """Mean removed, then divided by the largest magnitude (guarded)."""
+    """Mean removed, then divided by the largest magnitude (guarded).
+
+    Not to be an argument of a Python kernel, where Spark may fail to plan it; use ``normalizer``.
+    """
     mean = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x)
     peak = lambda x: F.greatest(F.array_max(F.transform(x, lambda v: F.abs(v))), F.lit(SILENCE))
     scaled = lambda c: let(peak(c), lambda p: F.transform(c, lambda v: v / p))
