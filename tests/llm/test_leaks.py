@@ -49,5 +49,15 @@ def test_search_misses_nothing_that_verification_accepts():
             assert index.holds(doc, i) and i in index.candidates(doc)
 
 
+def test_slips_beside_expanded_letters_and_two_in_long_words(spark):
+    words = "wir standen lange frierend draußen und haben außerhalb der alten Stadtmauer auf euch gewartet".split()
+    item = " ".join(words)
+    put = lambda k, w: " ".join([*words[:k], w, *words[k + 1 :]])
+    docs = [(1, put(7, "aßuerhalb")), (2, put(7, "ausserhlab")), (3, put(10, "Sadtmaeur")), (4, put(10, "Satmaeur")), (5, put(9, "alnten").replace("und", "nudd")), (6, put(4, "draußne").upper())]
+    assert len(words) == 14 and [d for d, _ in run(spark, docs, [(7, item, "de")])] == [1, 2, 3, 6]
+    assert run(spark, [(1, put(7, "aßuerhalb"))], [(7, item.replace("ß", "ss"), "de")]) == [(1, 7)]
+    assert L.misspelt(L.folded_tokens("oﬃce")[0], L.folded_tokens("oﬃec")[0]) and L.misspelt(L.folded_tokens("ﬁnd")[0], "fnid"[:1] + "ind") and not L.misspelt("und", "nudd")
+
+
 def test_empty(spark):
     assert run(spark, [], [(1, "a b", "en")]) == [] == run(spark, [(1, "some text")], [])

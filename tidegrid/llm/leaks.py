@@ -7,7 +7,8 @@ of a partition, containment ``t`` of a query of ``q`` shingles means a Jaccard s
 least ``t q / (x + q - t q)``, which fixes how many minima the partition compares so that a passage
 is missed with probability ``MISS`` at most. Candidates are verified exactly: words of text and
 item are matched on their diagonals, and a single misspelt word between right ones does not break
-a run.
+a run: one slip, or two in a word of ``LONG`` letters, where ß and ligatures count as one letter or
+as those they stand for, whichever makes fewer slips.
 
 Words are compared in folded form: compatibility-normalised, without case, accents, apostrophes,
 hyphens (and the line breaks after them) and other marks.
@@ -33,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORDS, CHARS = 13, 25
+#: Letters of a word that may have two slips.
+LONG = 8
 #: Containment that a passage keeps when every fourth of its words is misspelt.
 CONTAINMENT = 0.4
 PERMUTATIONS, MISS = 96, 1e-4
@@ -46,9 +49,20 @@ _CHAR = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")
 _ACCENT = regex.compile(r"[̀-ͯ]")
 
 
+#: Letters that folding expands, each kept as one letter of a script that texts do not use (Linear A).
+_EXPANDED = {chr(0x10600 + k): v for k, v in enumerate(("ss", "ff", "fi", "fl", "ffi", "ffl", "st", "ij"))}
+_KEPT = str.maketrans({c: chr(0x10600 + k) for k, cs in enumerate(("ßẞ", "ﬀ", "ﬁ", "ﬂ", "ﬃ", "ﬄ", "ﬅﬆ", "ĳĲ")) for c in cs})
+_EXPAND = str.maketrans(_EXPANDED)
+
+
+def expanded(tokens: list[str]) -> list[str]:
+    """Tokens of ``folded_tokens`` as they are compared."""
+    return "\n".join(tokens).translate(_EXPAND).split("\n") if any(c in "\n".join(tokens) for c in _EXPANDED) else tokens
+
+
 def folded_tokens(text: str) -> list[str]:
-    """Words of a text, and single characters of scripts without blanks, in comparable form."""
-    plain = unicodedata.normalize("NFKC", text)
+    """Words of a text, and single characters of scripts without blanks, in folded form but for letters to expand."""
+    plain = unicodedata.normalize("NFKC", text.translate(_KEPT))
     plain = _JOINED.sub("", plain).casefold()
     plain = unicodedata.normalize("NFC", _ACCENT.sub("", unicodedata.normalize("NFD", plain)))
     return _TOKEN.findall(plain)
@@ -95,14 +109,15 @@ class ItemIndex:
         self.items: dict[int, tuple[list[str], int, dict[str, list[int]]]] = {}
         keys, owners = [], []
         for item_id, text, lang in rows:
-            tokens = folded_tokens(text or "")
+            kept = folded_tokens(text or "")
+            tokens = expanded(kept)
             n = passage_length(lang, tokens)
             if len(tokens) < n:
                 continue
             places = defaultdict(list)
             for i, t in enumerate(tokens):
                 places[t].append(i)
-            self.items[item_id] = (tokens, n, dict(places))
+            self.items[item_id] = (kept, n, dict(places))
             values = permuted(shingles(tokens))
             windows = np.lib.stride_tricks.sliding_window_view(values, n - 1, axis=0).min(2)
             key = np.unique((windows << np.uint64(8)) | np.arange(PERMUTATIONS, dtype=np.uint64))
@@ -116,7 +131,7 @@ class ItemIndex:
         """Items of which some passage may be contained in some block of the text."""
         if len(tokens) < WORDS or not len(self.key):
             return set()
-        x = shingles(tokens)
+        x = shingles(expanded(tokens))
         values = permuted(x)
         found: set[int] = set()
         single = sum(1 for t in tokens if _CHAR.match(t))
@@ -139,7 +154,7 @@ class ItemIndex:
         """Does the text hold a passage of the item?"""
         item, n, places = self.items[item_id]
         runs: dict[int, tuple[int, int]] = {}  # diagonal to (first, last) place in the text
-        for i, t in enumerate(tokens):
+        for i, t in enumerate(expanded(tokens)):
             for p in places.get(t, ()):
                 d = i - p
                 first, last = runs.get(d, (i, -9))
@@ -153,15 +168,35 @@ class ItemIndex:
 
 
 def misspelt(a: str, b: str) -> bool:
-    """Could one word be a slip for the other: one letter wrong, missing, too many or swapped."""
+    """Could one word be written for the other by one slip, or by two if both are long."""
     if len(a) == 1 and len(b) == 1:
         return True
-    if abs(len(a) - len(b)) > 1:
-        return False
-    k = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-    if len(a) == len(b):
-        return a[k + 1 :] == b[k + 1 :] or a[k : k + 2] == b[k : k + 2][::-1] and a[k + 2 :] == b[k + 2 :]
-    return a[k + 1 :] == b[k:] if len(a) > len(b) else a[k:] == b[k + 1 :]
+    whole = tuple(expanded([a, b]))
+    most = 2 if min(map(len, whole)) >= LONG else 1
+    if slips(*whole, most) <= most:
+        return True
+    short = whole
+    for letter in sorted(set(a + b) & _EXPANDED.keys(), key=lambda c: -len(_EXPANDED[c])):
+        short = tuple(w.replace(_EXPANDED[letter], letter) for w in short)
+    return short != whole and slips(*short, most) <= most
+
+
+def slips(a: str, b: str, most: int) -> int:
+    """Letters wrong, missing, too many or swapped between two words, or more than ``most``."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    older, old = None, list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            cost = min(old[j] + 1, new[j - 1] + 1, old[j - 1] + (x != y))
+            if older is not None and j > 1 and x == b[j - 2] and y == a[i - 2]:
+                cost = min(cost, older[j - 2] + 1)
+            new.append(cost)
+        if min(new) > most + 1:
+            return most + 1
+        older, old = old, new
+    return old[-1]
 
 
 def _search(documents: DataFrame, rows: list) -> DataFrame:
