@@ -59,5 +59,18 @@ def test_slips_beside_expanded_letters_and_two_in_long_words(spark):
     assert L.misspelt(L.folded_tokens("oﬃce")[0], L.folded_tokens("oﬃec")[0]) and L.misspelt(L.folded_tokens("ﬁnd")[0], "fnid"[:1] + "ind") and not L.misspelt("und", "nudd")
 
 
+def test_passages_with_alternate_slips_and_in_mixed_texts_are_candidates():
+    rng = random.Random(12)
+    items = [(i, " ".join(rng.choice(WORDS) for _ in range(28)), "en") for i in range(20)]
+    index = L.ItemIndex(items)
+    for i, text, _ in items:
+        for a in range(15):
+            passage = [w[:2] + w[3:] if k % 2 else w for k, w in enumerate(text.split()[a : a + 13])]
+            doc = [rng.choice(WORDS) + "x" for _ in range(30)] + passage + [rng.choice(WORDS) + "y" for _ in range(30)]
+            assert index.holds(doc, i) and i in index.candidates(doc)
+            mixed = [chr(0x4E00 + rng.randrange(3000)) for _ in range(20)] + text.split()[a : a + 13]
+            assert index.holds(mixed, i) and i in index.candidates(mixed)
+
+
 def test_empty(spark):
     assert run(spark, [], [(1, "a b", "en")]) == [] == run(spark, [(1, "some text")], [])

@@ -36,12 +36,13 @@ from pyspark.sql import functions as F
 WORDS, CHARS = 13, 25
 #: Letters of a word that may have two slips.
 LONG = 8
-#: Containment that a passage keeps when every fourth of its words is misspelt.
-CONTAINMENT = 0.4
+#: Containment that a passage keeps at least, however many of its words are misspelt: with every second
+#: one, 6 of 23 shingles are left (12 of 47 for characters).
+CONTAINMENT = 0.255
 PERMUTATIONS, MISS = 96, 1e-4
 #: Items searched at a time.
 ITEM_BLOCK = 20_000
-SIZES = (16, 20, 25, 32, 50)
+SIZES = (32, 40, 48, 64, 96)
 
 _JOINED = regex.compile(r"(?<=[\p{L}\p{M}])[-‐‑­]\s*\n\s*(?=\p{L})|[­​-‍⁠﻿]|(?<=[\p{L}\p{M}])['’ʼ‘`´\-‐‑](?=\p{L})")
 _TOKEN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]|[[\p{L}\p{M}\p{N}]--[\p{Han}\p{Hiragana}\p{Katakana}ー]]+", regex.V1)
@@ -74,13 +75,13 @@ def passage_length(lang: str | None, tokens: list[str]) -> int:
     return CHARS if lang in ("zh", "ja") or 2 * single > len(tokens) else WORDS
 
 
-def shingles(tokens: list[str]) -> np.ndarray:
-    """Hashes of neighbouring token pairs."""
+def shingles(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of neighbouring token pairs, and of pairs with one token between them."""
     h = np.fromiter((zlib.crc32(t.encode()) for t in tokens), np.uint64, len(tokens))
     with np.errstate(over="ignore"):
         x = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
-        x ^= x >> np.uint64(31)
-    return x
+        y = h[:-2] * np.uint64(0xD6E8FEB86659FD93) + h[2:] * np.uint64(0xA0761D6478BD642F)
+    return x ^ (x >> np.uint64(31)), y ^ (y >> np.uint64(31))
 
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -107,6 +108,7 @@ class ItemIndex:
 
     def __init__(self, rows: list[tuple[int, str, str | None]]):
         self.items: dict[int, tuple[list[str], int, dict[str, list[int]]]] = {}
+        self.kinds: set[tuple[int, int]] = set()  # length and number of single characters of all passages
         keys, owners = [], []
         for item_id, text, lang in rows:
             kept = folded_tokens(text or "")
@@ -118,8 +120,10 @@ class ItemIndex:
             for i, t in enumerate(tokens):
                 places[t].append(i)
             self.items[item_id] = (kept, n, dict(places))
-            values = permuted(shingles(tokens))
-            windows = np.lib.stride_tricks.sliding_window_view(values, n - 1, axis=0).min(2)
+            single = np.cumsum([0, *(bool(_CHAR.match(t)) for t in tokens)])
+            self.kinds.update((n, c) for c in np.unique(single[n:] - single[:-n]).tolist())
+            near, apart = map(permuted, shingles(tokens))
+            windows = np.minimum(*(np.lib.stride_tricks.sliding_window_view(v, w, axis=0).min(2) for v, w in ((near, n - 1), (apart, n - 2))))
             key = np.unique((windows << np.uint64(8)) | np.arange(PERMUTATIONS, dtype=np.uint64))
             keys.append(key)
             owners.append(np.full(len(key), item_id, np.int64))
@@ -131,18 +135,19 @@ class ItemIndex:
         """Items of which some passage may be contained in some block of the text."""
         if len(tokens) < WORDS or not len(self.key):
             return set()
-        x = shingles(expanded(tokens))
+        x, apart = shingles(expanded(tokens))
         values = permuted(x)
+        values[:-1] = np.minimum(values[:-1], permuted(apart))
         found: set[int] = set()
         single = sum(1 for t in tokens if _CHAR.match(t))
-        for n in ([WORDS] if 2 * single < len(tokens) else []) + ([CHARS] if single >= CHARS else []):
+        for n in sorted({n for n, c in self.kinds if (single or not c) and (single < len(tokens) or c == n)}):
             # blocks of two steps: every run of n tokens lies in one of them
             step = n - 1
             lows = np.minimum.reduceat(values, np.arange(0, len(x), step), axis=0)
             lows = np.minimum(lows[:-1], lows[1:]) if len(lows) > 1 else lows
-            sizes = np.minimum(2 * step, len(x) - step * np.arange(len(lows)))
+            sizes = 2 * np.minimum(2 * step, len(x) - step * np.arange(len(lows)))
             for upper in sorted({min(s for s in SIZES if s >= z) for z in sizes.tolist()}):
-                m = minima_needed(upper, n - 1)
+                m = minima_needed(upper, 2 * n - 3)
                 own = lows[(sizes <= upper) & (sizes > max([0, *(s for s in SIZES if s < upper)]))][:, :m]
                 probe = np.unique((own << np.uint64(8)) | np.arange(m, dtype=np.uint64))
                 a, b = np.searchsorted(self.key, probe, "left"), np.searchsorted(self.key, probe, "right")
