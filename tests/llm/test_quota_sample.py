@@ -52,3 +52,11 @@ def test_empty(spark):
     assert [tuple(r) for r in Q.unreachable(none, targets).collect()] == [(0, 0)]
     assert Q.draw(none, targets).count() == 0
     assert Q.unreachable(none, spark.createDataFrame([], TARGETS)).count() == 0
+
+
+def test_a_binding_floor_of_a_large_class_is_met_exactly(spark):
+    df = clips(spark, {0: 700, 1: 3006, 2: 900})
+    plans = range(40)
+    targets = spark.createDataFrame([(p, c, f, m, 500) for p in plans for c, f, m in ((0, 0.4403, 0), (1, 0.1, 120), (2, 0.4597, 0))], TARGETS)
+    got = Counter((r.plan_id, r.class_idx) for r in Q.draw(df, targets).collect())
+    assert {p: got[p, 1] for p in plans} == dict.fromkeys(plans, 120)

@@ -153,7 +153,10 @@ def draw(prepared: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
     units = units.select(F.concat_ws(":", "plan_id", "class_idx", block).alias("grp"), F.col("plan_id").cast("bigint").alias("plan_id"), F.col("class_idx").cast("bigint").alias("class_idx"), F.col("clip_id").cast("bigint").alias("clip_id"), F.col("probability").alias("p"), draw_at("block").alias("u"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     first = units.repartition(n, "grp").sortWithinPartitions("grp", F.xxhash64("clip_id", F.lit(seed))).mapInArrow(_pivotal, units.schema)
-    # the undecided units of a plan, in the order of their classes: counts stay within one of the target
-    undecided = first.filter("p < 1").withColumns({"grp": F.col("plan_id").cast("string"), "u": draw_at("rest")})
+    # the undecided units of a class settle among themselves, so a class with a whole target meets it exactly
+    within = first.filter("p < 1").withColumns({"grp": F.concat_ws(":", "plan_id", "class_idx"), "u": draw_at("class")})
+    within = within.repartition(n, "grp").sortWithinPartitions("grp", "clip_id").mapInArrow(_pivotal, units.schema)
+    # then those left of a plan, in the order of their classes: counts stay within one of the target
+    undecided = within.filter(F.col("p").between(1e-9, 1 - 1e-9)).withColumns({"grp": F.col("plan_id").cast("string"), "u": draw_at("rest")})
     second = undecided.repartition(n, "grp").sortWithinPartitions("grp", "class_idx", "clip_id").mapInArrow(_pivotal, units.schema)
-    return first.filter("p >= 1").union(second.filter("p > 0.5")).select("plan_id", "clip_id", "class_idx")
+    return first.filter("p >= 1").union(within.filter(F.col("p") > 1 - 1e-9)).union(second.filter("p > 0.5")).select("plan_id", "clip_id", "class_idx")
