@@ -41,5 +41,11 @@ def test_same_scores_and_extremes(spark):
     assert run(spark, scores, [("a", 0, ""), ("b", -3, "")]) == []
 
 
+def test_rows_without_id_do_not_count(spark):
+    scores = [(i, "a", i / 100, 0.0) for i in range(10)]
+    unknown = [(None, "a", 0.5, 0.0), (None, "a", 0.7, 0.0), (None, "b", 0.5, 0.0)]
+    assert run(spark, scores + unknown, [("a", 10, ""), ("b", 50, "")]) == [("a", 90_000, 1)]
+
+
 def test_empty(spark):
     assert run(spark, [], [("a", 5, "")]) == [] == run(spark, [(1, "a", 0.5, 0.0)], [])

@@ -6,7 +6,7 @@ them with ``searchsorted``, adds the ranks up, and narrows the active range of e
 it ends when the wanted rank falls on a pivot. One source may hold any share of the rows: its
 arrays stay where they were cut, and only pivots and ranks move.
 
-Defined results: a repeated id counts once, null and NaN scores not at all, sources without a
+Defined results: a repeated id counts once, rows with a null id and null and NaN scores not at all, sources without a
 target (or with a null one) and sources without a score give no row. Ties at the cutoff are all
 kept. Targets above 100 keep everything, targets below or at 0 give no row. Of several target rows
 of one source the largest counts. Empty tables give empty results.
@@ -122,7 +122,7 @@ def source_cutoffs(scores: DataFrame, targets: DataFrame) -> DataFrame:
     Scores have at most six decimals and are compared in millionths.
     """
     e6 = F.rint(F.col("score") * 1e6).cast("bigint")
-    live = scores.filter(F.col("score").isNotNull() & ~F.isnan("score") & F.col("deployment").isNotNull())
+    live = scores.filter(F.col("score_id").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score") & F.col("deployment").isNotNull())
     once = live.groupBy("score_id").agg(F.min(F.struct(F.col("deployment").alias("source"), e6.alias("value"))).alias("s")).select("s.source", "s.value")
     found = cutoffs(once, targets.select(F.col("deployment").alias("source"), F.col("keep_pct").alias("pct")))
     return found.select(F.col("source").alias("deployment"), F.col("cutoff").alias("cutoff_e6"), "n_kept")
