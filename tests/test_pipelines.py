@@ -111,3 +111,12 @@ def test_windows_on_tables(spark):
     assert streams.tumbling_counts(df, "ts", "1 hour", ["key"]).count() == 2
     assert streams.sliding_clip_counts(df, "ts", "2 hours", "1 hour", ["key"]).agg(F.sum("n")).first()[0] == 6
     assert sorted(r.n for r in streams.live_streaks(df, "ts", "1 hour", ["key"]).collect()) == [1, 2]
+
+
+def test_more_sample_rates_than_the_bound_are_an_error(spark):
+    from tidegrid.operators.segment import ClipSettings
+    from tidegrid.plans import pipelines
+
+    waves = spark.range(1001).selectExpr("cast(id as string) file", "0 channel", "cast(id + 1 as int) fs", "array(0f) samples")
+    with pytest.raises(ValueError, match="more than 1000"):
+        pipelines.channel_clips(waves, ClipSettings(fs=64, clip_length_s=1.0, clip_advance_s=1.0))

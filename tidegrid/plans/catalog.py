@@ -9,7 +9,7 @@ from tidegrid.operators import coverage, labels, matching, metrics, sampling, se
 from tidegrid.operators.intervals import annotated_periods
 from tidegrid.plans import inputs
 from tidegrid.plans.inputs import FS, PREP, PREP_TRAILING, SCORED
-from tidegrid.store import broadcast_if_small, table
+from tidegrid.store import all_rows, broadcast_if_small, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -98,8 +98,8 @@ idx as (select label, (row_number() over (order by label) - 1)::int as class_idx
 select label, class_idx from idx union select u.src, i.class_idx from used u join idx i on i.label = u.dst""")
 def label_remap_open(spark, d):
     """Class space inferred from the annotations, opened up by the remaps."""
-    found = [r["label"] for r in labels.discover_labels(table(spark, d, "annotations")).select("label").orderBy("label").limit(100_000).collect()]
-    maps = {r["src"]: r["dst"] for r in table(spark, d, "remap").limit(100_000).collect()}
+    found = [r["label"] for r in all_rows(labels.discover_labels(table(spark, d, "annotations")).select("label").orderBy("label"), 100_000)]
+    maps = {r["src"]: r["dst"] for r in all_rows(table(spark, d, "remap"), 100_000)}
     import warnings
 
     with warnings.catch_warnings():

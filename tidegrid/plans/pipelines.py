@@ -11,6 +11,7 @@ from tidegrid.functions import signal, spectral
 from tidegrid.operators import coverage, labels, metrics, sampling, segment, streaks
 from tidegrid.operators.segment import ClipSettings
 from tidegrid.plans import models
+from tidegrid.store import all_rows
 
 
 def channel_clips(waves: DataFrame, s: ClipSettings) -> DataFrame:
@@ -18,7 +19,7 @@ def channel_clips(waves: DataFrame, s: ClipSettings) -> DataFrame:
 
     Channels are brought to the settings' rate and filtered as wholes before they are cut.
     """
-    rates = [r["fs"] for r in waves.select("fs").distinct().limit(1000).collect() if r["fs"] is not None]
+    rates = [r["fs"] for r in all_rows(waves.select("fs").distinct(), 1000) if r["fs"] is not None]
     x = F.transform("samples", lambda v: v.cast("double"))
     for fs in rates:
         if fs != s.fs:

@@ -73,3 +73,11 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of an input directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def all_rows(df: DataFrame, most: int) -> list:
+    """The rows of a small table; more than ``most`` are an error, never cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows where a small table is needed")
+    return rows
