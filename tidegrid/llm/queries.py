@@ -16,6 +16,10 @@ def p1_report(spark, d):
     return split_overlap.overlap_report(table(spark, d, "prepared"))
 
 
+def p1_coverage(spark, d):
+    return split_overlap.overlap_coverage(table(spark, d, "prepared"))
+
+
 def p2_found(spark, d):
     return canonical.map_tags(table(spark, d, "seltab"), table(spark, d, "classes"), table(spark, d, "remap"))
 
@@ -80,4 +84,4 @@ def p9_found(spark, d):
     return sentences.sentence_units(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_unmatched, p4_found, p4_report, p4_sample, p5_found, p5_assign, p5_report, p6_found, p7_ids, p8_found, p8_report, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_coverage, p2_found, p2_unmatched, p4_found, p4_report, p4_sample, p5_found, p5_assign, p5_report, p6_found, p7_ids, p8_found, p8_report, p9_found)}
