@@ -2,7 +2,8 @@
 
 Iterative operators cut their lineage by writing a Parquet table into the shared folder that
 the cluster names in ``spark.checkpoint.dir``; every executor can read it again, so the loss of
-an executor costs nothing. A local folder is used only where the setting is absent (tests).
+an executor costs nothing. A local folder is used only where the setting is absent and the master is
+local (tests); on a cluster without the setting nothing is written, and an error says so.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be broadcast when its rows are narrow.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a side may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64_000_000
 
 _roots: dict[str, str] = {}
 
@@ -26,6 +27,8 @@ def shared_root(spark: SparkSession) -> str:
     if app not in _roots:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="tidegrid-")
         root = f"{base.rstrip('/')}/tidegrid-{app}"
         _roots[app] = root
@@ -60,14 +63,24 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return write_table(df, name)[0]
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after counting that it has at most ``max_rows`` rows.
+def _width(df: DataFrame):
+    """Bytes of a row, as an expression; fixed columns count 8."""
+    own = F.lit(0).cast("bigint")
+    for f in df.schema.fields:
+        plain = f.dataType.typeName()
+        size = F.octet_length(f.name) if plain in ("string", "binary") else F.octet_length(F.to_json(F.struct(f.name))) if plain in ("array", "map", "struct") else F.lit(8)
+        own = own + F.coalesce(size, F.lit(0))
+    return own
 
-    Beyond the bound the plain frame is returned, and Spark shuffles both sides.
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only after counting that it has at most ``max_rows`` rows and ``max_bytes`` bytes.
+
+    Beyond the bounds the plain frame is returned, and Spark shuffles both sides.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    some = df.limit(max_rows + 1)
+    rows, size = some.agg(F.count("*"), F.coalesce(F.sum(_width(some)), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
