@@ -32,3 +32,35 @@ def test_hot_value_and_empty_reference(spark):
 @pytest.mark.parametrize(("a", "b", "d"), [("abc", "abc", 0), ("abc", "acb", 1), ("abc", "axcb", 2), ("ab", "xaby", 2), ("", "ab", 2), ("abcd", "efgh", 3)])
 def test_edit_distance(a, b, d):
     assert C.edit_distance(a, b) == d == C.edit_distance(b, a)
+
+
+def test_other_scripts_and_long_tokens(spark):
+    long = "pneumonoultramicroscopicsilicovolcanoconiosispseudopseudohypoparathyroidism"
+    classes = spark.createDataFrame([("ザトウクジラ", 0), ("Łódź", 1), ("Ørsted", 2), (long, 3), ("белуха", 4), ("orca", 5)], "label string, class_idx int")
+    swapped = long[:30] + long[31] + long[30] + long[32:-1]
+    tags = {1: "ザトウクジラ!", 2: "lodz", 3: "orsted", 4: swapped, 5: long[:20] + long[24:], 6: "БЕЛУГА", 7: "оrса", 8: "шшшш", 9: "…"}
+    seltab = spark.createDataFrame([(k, v) for k, v in tags.items()], "sel_id long, tags string")
+    got = dict(tuple(r) for r in C.map_tags(seltab, classes, spark.createDataFrame([], "src string, dst string")).collect())
+    assert got == {1: 0, 2: 1, 3: 2, 4: 3, 5: -1, 6: 4, 7: 5, 8: -1, 9: -1}
+
+
+def test_segments_find_all_within_two_edits():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(300):
+        known = "".join(rng.choice("abcdef") for _ in range(rng.randint(12, 40)))
+        typed = list(known)
+        for _ in range(2):
+            i = rng.randrange(len(typed) - 1)
+            match rng.randrange(4):
+                case 0:
+                    typed[i] = "z"
+                case 1:
+                    del typed[i]
+                case 2:
+                    typed.insert(i, "z")
+                case 3:
+                    typed[i], typed[i + 1] = typed[i + 1], typed[i]
+        typed = "".join(typed)
+        assert C.edit_distance(typed, known) <= 2 and C.typed_keys(typed) & C.known_keys(known)

@@ -1,25 +1,28 @@
 """Mapping of free-entered values to a canonical list.
 
 Each distinct token of the values is joined to the tokens of the reference list: by edit distance
-(deletion neighbourhoods make that an equi-join, a transposition-aware distance decides) and as an
-abbreviation by its prefixes. Corrected tokens are combined with soft TF-IDF: an entry is meant if
-all its tokens are found, and entries are ranked by the edits they need and then by the cosine of
-corrected tokens. Only distinct values and distinct tokens take part, so frequent values cost one
-row; the result is joined back with salted keys.
+(deletion neighbourhoods, or unchanged segments for long tokens, make that an equi-join; a
+transposition-aware distance decides) and as an abbreviation by its prefixes. Corrected tokens are
+combined with soft TF-IDF: an entry is meant if all its tokens are found, and entries are ranked by
+the edits they need and then by their soft TF-IDF sum. Only distinct values and distinct tokens take
+part, so frequent values cost one row; the result is joined back with salted keys.
+
+Words of any script are tokens. Letters that look like Latin ones are read as these where that makes
+the whole word Latin, on both sides alike.
 
 Defined results: null and blank values, and values that are letter for letter a label, give no
 row. A value that fits entries of different classes alike, that fits none, or that is an alias
 whose target is no label, gives -1. Repeated rows give one row. Entries with null fields are
-ignored. An empty reference list maps everything to -1.
+ignored. An empty reference list maps everything to -1. Values without letters and digits fit none.
 """
 
 from __future__ import annotations
 
 import itertools
-import re
 import unicodedata
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,21 +34,28 @@ EDITS = ((3, 0),)
 MAX_EDITS = 2
 #: Edits (an abbreviation counts half) that a whole value may need.
 MAX_COST = 3
-#: Longest token that is looked up by edits (longer ones must match exactly).
-MAX_TOKEN = 48
+#: Letters of a reference token from which segments are looked up instead of deletions.
+LONG_TOKEN = 16
+#: Two edits (swaps included) touch at most four neighbouring segments of a token.
+SEGMENTS = 2 * MAX_EDITS + 1
 SALT = 16
 
 #: Letters of other scripts that look like Latin ones, with the Latin letter.
 LOOKALIKES = str.maketrans("авекмнорстухіјѕԁһԛԝґєӏαβεικνορτυχ", "abekmhopctyxijsdhqwrelabeiknoptux")
 
-_NOT_WORD = re.compile(r"[^0-9a-z]+")
+#: Letters that have no decomposition, with their plain spelling.
+PLAIN = str.maketrans({"ł": "l", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "æ": "ae", "œ": "oe", "ı": "i", "ħ": "h"})
+
+_WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+")
+_LATIN = regex.compile(r"[\p{Latin}\p{N}]+")
 
 
 def normal_tokens(value: str) -> list[str]:
-    """Words of a value in plain lower-case Latin letters and digits."""
-    plain = unicodedata.normalize("NFKC", value).casefold().translate(LOOKALIKES)
-    plain = "".join(c for c in unicodedata.normalize("NFD", plain) if not unicodedata.combining(c))
-    return [t for t in _NOT_WORD.split(plain) if t]
+    """Words of a value in lower case without accents; Latin lookalikes of other scripts as Latin."""
+    plain = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", value).casefold())
+    plain = "".join(c for c in plain if not unicodedata.combining(c)).translate(PLAIN)
+    words = _WORDS.findall(unicodedata.normalize("NFC", plain))
+    return [latin if _LATIN.fullmatch(latin := w.translate(LOOKALIKES)) else w for w in words]
 
 
 def edit_distance(a: str, b: str, most: int = MAX_EDITS) -> int:
@@ -72,7 +82,7 @@ def edit_distance(a: str, b: str, most: int = MAX_EDITS) -> int:
 
 def allowed_edits(token: str) -> int:
     """Edits a reference token may be away from what was typed."""
-    if any(c.isdigit() for c in token) or len(token) > MAX_TOKEN:
+    if any(c.isdigit() for c in token):
         return 0
     return next((n for length, n in EDITS if len(token) <= length), MAX_EDITS)
 
@@ -102,14 +112,42 @@ def _joined_tokens(values: pd.Series) -> pd.Series:
     return values.map(lambda t: joins(list(t)))
 
 
+def segments(token: str) -> list[tuple[int, str]]:
+    """A long token in ``SEGMENTS`` parts: (first letter's place, part)."""
+    at = [len(token) * k // SEGMENTS for k in range(SEGMENTS + 1)]
+    return [(a, token[a:b]) for a, b in itertools.pairwise(at)]
+
+
+def known_keys(token: str) -> set[str]:
+    """Keys under which a reference token is found by whatever is within its edits."""
+    n = allowed_edits(token)
+    if n and len(token) >= LONG_TOKEN:
+        return {f"{len(token)}:{k}:{part}" for k, (_, part) in enumerate(segments(token))}
+    return deletions(token, n)
+
+
+def typed_keys(token: str) -> set[str]:
+    """Keys of a typed token: its deletions, and parts where a long token of near length may have them."""
+    if any(c.isdigit() for c in token):
+        return {token}
+    found: set[str] = set()
+    if len(token) < LONG_TOKEN + MAX_EDITS:
+        found = deletions(token, MAX_EDITS)
+    for n in range(max(LONG_TOKEN, len(token) - MAX_EDITS), len(token) + MAX_EDITS + 1):
+        for k, (at, part) in enumerate(segments("x" * n)):
+            places = range(max(0, at - MAX_EDITS), at + MAX_EDITS + 1)
+            found.update(f"{n}:{k}:{token[i : i + len(part)]}" for i in places if i + len(part) <= len(token))
+    return found
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def _typed_deletions(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda t: sorted(deletions(t, 0 if any(c.isdigit() for c in t) or len(t) > MAX_TOKEN + MAX_EDITS else MAX_EDITS)))
+def _typed_keys(tokens: pd.Series) -> pd.Series:
+    return tokens.map(lambda t: sorted(typed_keys(t)))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def _known_deletions(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda t: sorted(deletions(t, allowed_edits(t))))
+def _known_keys(tokens: pd.Series) -> pd.Series:
+    return tokens.map(lambda t: sorted(known_keys(t)))
 
 
 @F.pandas_udf(T.IntegerType())
@@ -134,10 +172,17 @@ def reference_entries(labels: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def token_repairs(typed: DataFrame, known: DataFrame) -> DataFrame:
     """(token, known, edits, abbreviated) of distinct ``typed`` (token, whole) and ``known`` (known)."""
-    a = typed.select("token", F.explode(_typed_deletions("token")).alias("d"))
-    b = known.select("known", F.explode(_known_deletions("known")).alias("d"))
-    near = a.join(broadcast_if_small(b), "d").select("token", "known").distinct().withColumn("edits", _distance("token", "known")).filter("edits is not null")
-    prefixes = known.filter("known rlike '^[a-z]+$'").select("known", F.explode(F.expr("transform(sequence(1, length(known)), i -> substr(known, 1, i))")).alias("token")).filter("token <> known")
+    spark = typed.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # few bytes but much work a row: explicit partitions keep all cores busy
+    a = typed.select("token").repartition(n, "token").select("token", F.explode(_typed_keys("token")).alias("d"))
+    b = known.select("known", F.explode(_known_keys("known")).alias("d"))
+    # the plain distance bounds the one with swaps on both sides, which decides the rest
+    pairs = a.join(broadcast_if_small(b), "d").select("token", "known").distinct().repartition(n, "token", "known")
+    pairs = pairs.withColumn("plain", F.levenshtein("token", "known", 2 * MAX_EDITS)).filter("plain >= 0")
+    near = pairs.filter("plain <= 1").select("token", "known", F.when((F.col("plain") == 0) | ~F.col("known").rlike(r"\p{N}") & (F.length("known") > EDITS[0][0]), F.col("plain")).alias("edits"))
+    near = near.union(pairs.filter("plain > 1").select("token", "known", _distance("token", "known"))).filter("edits is not null")
+    prefixes = known.filter(r"known rlike '^\\p{L}+$'").select("known", F.explode(F.expr("transform(sequence(1, length(known)), i -> substr(known, 1, i))")).alias("token")).filter("token <> known")
     short = typed.filter("whole").join(broadcast_if_small(prefixes), "token").select("token", "known", F.lit(0).alias("edits"))
     return near.withColumn("abbreviated", F.lit(0)).union(short.withColumn("abbreviated", F.lit(1)))
 
@@ -153,7 +198,7 @@ def meant_entries(values: DataFrame, labels: DataFrame, aliases: DataFrame) -> D
     parts = parts.select("value", F.explode(F.concat(F.transform("tokens", lambda t: F.struct(t.alias("token"), F.lit(True).alias("whole"))), F.transform(_joined_tokens("tokens"), lambda t: F.struct(t.alias("token"), F.lit(False).alias("whole"))))).alias("p"))
     parts = durable(parts.select("value", "p.token", "p.whole").distinct(), "parts")
     typed = parts.groupBy("token").agg(F.max("whole").alias("whole"))
-    repairs = token_repairs(typed, postings.select("known").distinct())
+    repairs = durable(token_repairs(typed, postings.select("known").distinct()), "repairs")
     similarity = 1 - 0.2 * F.col("edits") - 0.3 * F.col("abbreviated")
     hits = repairs.join(broadcast_if_small(weighted), "known").select("token", "entry", "variant", "target", "n", "known", "idf", "edits", "abbreviated", similarity.alias("sim"))
     fit = parts.join(broadcast_if_small(hits), "token").filter("whole or abbreviated = 0")
@@ -169,9 +214,10 @@ def meant_entries(values: DataFrame, labels: DataFrame, aliases: DataFrame) -> D
     whole = scored.filter(f"found = n and used = n and short < n and cost <= {MAX_COST}")
     top = whole.groupBy("value", "target").agg(F.min(F.struct("cost", (-F.col("soft")).alias("rank"))).alias("r"))
     # entries alike: same cost; of those the target with the clearly larger soft TF-IDF sum
-    chosen = top.groupBy("value").agg(F.min("r").alias("least"), F.collect_list(F.struct("r", "target")).alias("all"))
-    alike = F.filter("all", lambda x: (x["r"]["cost"] <= F.col("least.cost") + 1e-9) & (x["r"]["rank"] <= F.col("least.rank") + 1e-6))
-    return chosen.select("value", F.when(F.size(alike) == 1, alike[0]["target"]).otherwise(-1).alias("target"))
+    least = top.groupBy("value").agg(F.min("r").alias("least"))
+    alike = top.join(least, "value").filter("r.cost <= least.cost + 1e-9 and r.rank <= least.rank + 1e-6")
+    chosen = alike.groupBy("value").agg(F.count("*").alias("n"), F.min("target").alias("target"))
+    return chosen.select("value", F.when(F.col("n") == 1, F.col("target")).otherwise(-1).alias("target"))
 
 
 def map_tags(selections: DataFrame, classes: DataFrame, remap: DataFrame) -> DataFrame:
