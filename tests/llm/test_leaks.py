@@ -46,7 +46,7 @@ def test_search_misses_nothing_that_verification_accepts():
         for _ in range(10):
             a = rng.randrange(15)
             doc = [rng.choice(WORDS) for _ in range(rng.randrange(90))] + words[a : a + 13] + [rng.choice(WORDS) for _ in range(rng.randrange(90))]
-            assert index.holds(doc, i) and i in index.candidates(doc)
+            assert index.holds(doc, L.expanded(doc), i) and i in index.aligned(L.expanded(doc), index.candidates(doc, L.expanded(doc)))
 
 
 def test_slips_beside_expanded_letters_and_two_in_long_words(spark):
@@ -67,9 +67,9 @@ def test_passages_with_alternate_slips_and_in_mixed_texts_are_candidates():
         for a in range(15):
             passage = [w[:2] + w[3:] if k % 2 else w for k, w in enumerate(text.split()[a : a + 13])]
             doc = [rng.choice(WORDS) + "x" for _ in range(30)] + passage + [rng.choice(WORDS) + "y" for _ in range(30)]
-            assert index.holds(doc, i) and i in index.candidates(doc)
+            assert index.holds(doc, L.expanded(doc), i) and i in index.aligned(L.expanded(doc), index.candidates(doc, L.expanded(doc)))
             mixed = [chr(0x4E00 + rng.randrange(3000)) for _ in range(20)] + text.split()[a : a + 13]
-            assert index.holds(mixed, i) and i in index.candidates(mixed)
+            assert index.holds(mixed, L.expanded(mixed), i) and i in index.aligned(L.expanded(mixed), index.candidates(mixed, L.expanded(mixed)))
 
 
 def test_empty(spark):

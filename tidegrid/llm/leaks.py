@@ -2,8 +2,9 @@
 
 Queries are the passages of the items: every run of ``WORDS`` words (``CHARS`` characters in
 scripts without blanks). A text is cut into overlapping blocks such that each such run lies wholly
-in one block, and the blocks are partitioned by their number of shingles. For the upper size ``x``
-of a partition, containment ``t`` of a query of ``q`` shingles means a Jaccard similarity of at
+in one block. Of a block only the shingles that occur in some item matter: leaving the others out
+changes no containment, and a block with fewer of them than a passage keeps is passed over. Blocks
+are partitioned by the number of shingles that are left. For the upper size ``x`` of a partition, containment ``t`` of a query of ``q`` shingles means a Jaccard similarity of at
 least ``t q / (x + q - t q)``, which fixes how many minima the partition compares so that a passage
 is missed with probability ``MISS`` at most. Candidates are verified exactly: words of text and
 item are matched on their diagonals, and a single misspelt word between right ones does not break
@@ -21,6 +22,7 @@ block.
 
 from __future__ import annotations
 
+import functools
 import math
 import unicodedata
 import zlib
@@ -42,7 +44,7 @@ CONTAINMENT = 0.255
 PERMUTATIONS, MISS = 96, 1e-4
 #: Items searched at a time.
 ITEM_BLOCK = 20_000
-SIZES = (32, 40, 48, 64, 96)
+SIZES = (16, 32, 48, 96)
 
 _JOINED = regex.compile(r"(?<=[\p{L}\p{M}])[-‐‑­]\s*\n\s*(?=\p{L})|[­​-‍⁠﻿]|(?<=[\p{L}\p{M}])['’ʼ‘`´\-‐‑](?=\p{L})")
 _TOKEN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]|[[\p{L}\p{M}\p{N}]--[\p{Han}\p{Hiragana}\p{Katakana}ー]]+", regex.V1)
@@ -84,6 +86,7 @@ def shingles(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return x ^ (x >> np.uint64(31)), y ^ (y >> np.uint64(31))
 
 
+@functools.cache
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20_240_501)
     return rng.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -96,6 +99,7 @@ def permuted(x: np.ndarray) -> np.ndarray:
         return (x[:, None] * a + b) >> np.uint64(32)
 
 
+@functools.cache
 def minima_needed(size: int, query: int, containment: float = CONTAINMENT) -> int:
     """Minima to compare in a partition of blocks with up to ``size`` shingles."""
     held = containment * query
@@ -103,13 +107,19 @@ def minima_needed(size: int, query: int, containment: float = CONTAINMENT) -> in
     return min(PERMUTATIONS, math.ceil(math.log(MISS) / math.log(1 - similarity)))
 
 
+def ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges [low, high), one after another."""
+    n = high - low
+    return np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 class ItemIndex:
     """Minima of all passages of the items, sorted for lookup, and the items' tokens."""
 
     def __init__(self, rows: list[tuple[int, str, str | None]]):
         self.items: dict[int, tuple[list[str], int, dict[str, list[int]]]] = {}
         self.kinds: set[tuple[int, int]] = set()  # length and number of single characters of all passages
-        keys, owners = [], []
+        keys, owners, known = [], [], [np.empty(0, np.uint64)]
         for item_id, text, lang in rows:
             kept = folded_tokens(text or "")
             tokens = expanded(kept)
@@ -122,7 +132,9 @@ class ItemIndex:
             self.items[item_id] = (kept, n, dict(places))
             single = np.cumsum([0, *(bool(_CHAR.match(t)) for t in tokens)])
             self.kinds.update((n, c) for c in np.unique(single[n:] - single[:-n]).tolist())
-            near, apart = map(permuted, shingles(tokens))
+            own = shingles(tokens)
+            known += own
+            near, apart = map(permuted, own)
             windows = np.minimum(*(np.lib.stride_tricks.sliding_window_view(v, w, axis=0).min(2) for v, w in ((near, n - 1), (apart, n - 2))))
             key = np.unique((windows << np.uint64(8)) | np.arange(PERMUTATIONS, dtype=np.uint64))
             keys.append(key)
@@ -130,36 +142,88 @@ class ItemIndex:
         key, owner = (np.concatenate(keys), np.concatenate(owners)) if keys else (np.empty(0, np.uint64), np.empty(0, np.int64))
         order = np.argsort(key, kind="stable")
         self.key, self.owner = key[order], owner[order]
+        self.known = np.unique(np.concatenate(known))  # shingles of all items
+        self.words: dict[str, int] = {}
+        self.numbers = {i: np.array([self.words.setdefault(t, len(self.words)) for t in expanded(kept)], np.int64) for i, (kept, _, _) in self.items.items()}
+
+    def occurs(self, x: np.ndarray) -> np.ndarray:
+        """Which shingles occur in some item?"""
+        return self.known[np.minimum(np.searchsorted(self.known, x), len(self.known) - 1)] == x
+
+    def candidates(self, tokens: list[str], plain: list[str]) -> set[int]:
+        """Items of which some passage may be contained in some block of the text.
 
-    def candidates(self, tokens: list[str]) -> set[int]:
-        """Items of which some passage may be contained in some block of the text."""
+        ``plain`` is ``expanded(tokens)``.
+        """
         if len(tokens) < WORDS or not len(self.key):
             return set()
-        x, apart = shingles(expanded(tokens))
-        values = permuted(x)
-        values[:-1] = np.minimum(values[:-1], permuted(apart))
+        x, apart = shingles(plain)
+        near_known, apart_known = self.occurs(x), np.append(self.occurs(apart), False)
+        count = near_known.astype(np.int64) + apart_known
         found: set[int] = set()
-        single = sum(1 for t in tokens if _CHAR.match(t))
-        for n in sorted({n for n, c in self.kinds if (single or not c) and (single < len(tokens) or c == n)}):
+        single, values = None, None
+        for n in sorted({n for n, _ in self.kinds}):
+            step, least = n - 1, math.ceil(CONTAINMENT * (2 * n - 3))
+            if len(tokens) < n or count.sum() < least:
+                continue
             # blocks of two steps: every run of n tokens lies in one of them
-            step = n - 1
-            lows = np.minimum.reduceat(values, np.arange(0, len(x), step), axis=0)
+            at = np.arange(0, len(x), step)
+            sizes = np.add.reduceat(count, at)
+            sizes = sizes[:-1] + sizes[1:] if len(sizes) > 1 else sizes
+            if sizes.max() < least:
+                continue
+            if single is None:
+                single = sum(1 for t in tokens if _CHAR.match(t))
+            if not any((single or not c) and (single < len(tokens) or c == n) for k, c in self.kinds if k == n):
+                continue
+            if values is None:
+                values = np.full((len(x), PERMUTATIONS), np.iinfo(np.uint64).max)
+                values[near_known] = permuted(x[near_known])
+                values[apart_known] = np.minimum(values[apart_known], permuted(apart[apart_known[:-1]]))
+            lows = np.minimum.reduceat(values, at, axis=0)
             lows = np.minimum(lows[:-1], lows[1:]) if len(lows) > 1 else lows
-            sizes = 2 * np.minimum(2 * step, len(x) - step * np.arange(len(lows)))
-            for upper in sorted({min(s for s in SIZES if s >= z) for z in sizes.tolist()}):
+            below = least - 1
+            for upper in SIZES:
                 m = minima_needed(upper, 2 * n - 3)
-                own = lows[(sizes <= upper) & (sizes > max([0, *(s for s in SIZES if s < upper)]))][:, :m]
+                some = (sizes <= upper) & (sizes > below)
+                below = max(below, upper)
+                if not some.any():
+                    continue
+                own = lows[some][:, :m]
                 probe = np.unique((own << np.uint64(8)) | np.arange(m, dtype=np.uint64))
-                a, b = np.searchsorted(self.key, probe, "left"), np.searchsorted(self.key, probe, "right")
-                for i, j in zip(a[a < b], b[a < b], strict=True):
-                    found.update(self.owner[i:j].tolist())
+                found.update(np.unique(self.owner[ranges(np.searchsorted(self.key, probe, "left"), np.searchsorted(self.key, probe, "right"))]).tolist())
         return found
 
-    def holds(self, tokens: list[str], item_id: int) -> bool:
+    def aligned(self, plain: list[str], items: set[int]) -> list[int]:
+        """Those of the items that share words with the text on one diagonal, over a passage, with single ones between wrong."""
+        if not items:
+            return []
+        own = sorted(items)
+        lengths = [len(self.numbers[i]) for i in own]
+        number = np.concatenate([self.numbers[i] for i in own])
+        item, place = np.repeat(np.arange(len(own)), lengths), np.concatenate([np.arange(n) for n in lengths])
+        order = np.argsort(number, kind="stable")
+        number, item, place = number[order], item[order], place[order]
+        text = np.fromiter((self.words.get(t, -1) for t in plain), np.int64, len(plain))
+        low, high = np.searchsorted(number, text, "left"), np.searchsorted(number, text, "right")
+        at = ranges(low, high)
+        span = len(plain) + max(lengths)
+        i = np.repeat(np.arange(len(text)), high - low)
+        key = (item[at] * span + i - place[at] + max(lengths)) * (2 * span) + i
+        key.sort()
+        if not len(key):
+            return []
+        first = np.flatnonzero(np.r_[True, np.diff(key) > 2])
+        last = np.r_[first[1:], len(key)] - 1
+        which = key[first] // (2 * span * span)
+        passage = np.array([self.items[k][1] for k in own])
+        return [own[k] for k in np.unique(which[key[last] - key[first] + 1 >= passage[which]])]
+
+    def holds(self, tokens: list[str], plain: list[str], item_id: int) -> bool:
         """Does the text hold a passage of the item?"""
         item, n, places = self.items[item_id]
         runs: dict[int, tuple[int, int]] = {}  # diagonal to (first, last) place in the text
-        for i, t in enumerate(expanded(tokens)):
+        for i, t in enumerate(plain):
             for p in places.get(t, ()):
                 d = i - p
                 first, last = runs.get(d, (i, -9))
@@ -215,8 +279,9 @@ def _search(documents: DataFrame, rows: list) -> DataFrame:
                 if not (value := text.as_py()):
                     continue
                 tokens = folded_tokens(value)
-                for item in sorted(index.candidates(tokens)):
-                    if index.holds(tokens, item):
+                plain = expanded(tokens)
+                for item in index.aligned(plain, index.candidates(tokens, plain)):
+                    if index.holds(tokens, plain, item):
                         docs.append(i)
                         items.append(item)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs, pa.int64())), pa.array(items, pa.int64())], names=["doc_id", "item_id"])
