@@ -61,3 +61,14 @@ def test_frame_blanks_long_and_repeated(spark, model):
     got = sorted(map(tuple, S.sentence_units(spark.createDataFrame(rows, "doc_id long, text string, end_pos int"), model=model).collect()))
     assert got == [(3, 0, 20), (3, 21, 41), (4, 0, 20000), (5, 0, 3), (6, 2, 5)]
     assert S.sentence_units(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_words_and_further_scripts():
+    m = S.Model()
+    m.abbreviations = {("en", "abbreviationally")}
+    m.words = {("en", "then")}
+    text = "He went abbreviationally. Then she came. It ended there."
+    assert [text[a:b] for a, b in S.sentences(text, m)] == ["He went abbreviationally.", "Then she came.", "It ended there."]
+    assert [S.language(t) for t in ("καλημέρα κόσμε", "مرحبا بالعالم", "שלום עולם", "안녕하세요 여러분", "12 !?")] == ["el", "ar", "he", "ko", "xx"]
+    urdu = "یہ پہلا جملہ ہے۔ یہ دوسرا ہے۔"
+    assert [urdu[a:b] for a, b in S.sentences(urdu, m)] == ["یہ پہلا جملہ ہے۔", "یہ دوسرا ہے۔"]

@@ -32,8 +32,6 @@ from tidegrid.store import durable
 
 #: Accepted entries of the model that may be broadcast.
 MAX_MODEL = 500_000
-#: Longest word that can be learned as an abbreviation.
-LONGEST = 10
 ABBREVIATION_SCORE, COLLOCATION_LLR, STARTER_LLR = 0.3, 7.88, 20.0
 
 #: The commonest words of the languages in Latin script.
@@ -44,45 +42,55 @@ COMMON = {
     "es": frozenset("el la los las de del un una y en al por junto".split()),
 }
 
-END = ".!?…。！？।॥．｡؟‽"
+#: Words of one language alone count twice.
+_WEIGHTS = {k: {w: 1 if any(w in other for j, other in COMMON.items() if j != k) else 2 for w in own} for k, own in COMMON.items()}
+
+END = ".!?…。！？।॥．｡؟‽۔։።"
 CLOSERS = "”’»«\"')]」』）】》›"
 OPENERS = "“„‘‚«»\"'([「『（【《‹¿¡"
 GOES_ON = frozenset(",;:)，、；：）—–")
 PAIRS = {"“": "”", "„": "“”", "‘": "’", "‚": "‘", "«": "»", "»": "«", "「": "」", "『": "』", "（": "）)", "(": ")）", "[": "]", "【": "】", "《": "》", "‹": "›", '"': '"'}
 
 _EMPTY_LINE = regex.compile(r"\n[^\S\n]*\n\s*")
-_MARK = regex.compile(r"[.…．]+|[!?。！？।॥｡؟‽.…]+|[“„‘‚«»\"(\[「『（【《‹]")
+_MARK = regex.compile(r"[.…．]+|[!?。！？।॥｡؟‽۔։።.…]+|[“„‘‚«»\"(\[「『（【《‹]")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _BEFORE = regex.compile(r"[\p{L}\p{M}\p{N}.]+$")
 _LIST = regex.compile(r"\(?\p{N}{1,3}[.)]\s+")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 _THAI_GAP = regex.compile(r"\s+")
-_LETTERS = regex.compile(r"(?P<thai>\p{Thai})|(?P<cjk>[\p{Han}\p{Hiragana}\p{Katakana}])|(?P<cyr>\p{Cyrillic})|(?P<dev>\p{Devanagari})|(?P<latin>\p{Latin})")
+#: Scripts that decide the language or stand for it; in Latin script words decide.
+SCRIPTS = {
+    "th": r"\p{Thai}", "cjk": r"[\p{Han}\p{Hiragana}\p{Katakana}]", "ru": r"\p{Cyrillic}", "hi": r"\p{Devanagari}", "latin": r"\p{Latin}", "el": r"\p{Greek}", "ar": r"\p{Arabic}",
+    "he": r"\p{Hebrew}", "ko": r"\p{Hangul}", "hy": r"\p{Armenian}", "ka": r"\p{Georgian}", "bn": r"\p{Bengali}", "ta": r"\p{Tamil}", "te": r"\p{Telugu}", "am": r"\p{Ethiopic}",
+}
+_RUNS = {k: regex.compile(f"{v}+") for k, v in SCRIPTS.items()}
+_OTHER = regex.compile(r"[^\p{Latin}\P{L}]")
 _SURE = regex.compile(r"(?:(?<=\p{Ll}{4})\.|[!?][\"”»’)]*|।)\s+(?=[\"“„«»‘(¿¡]*[\p{Lu}\p{Devanagari}])")
 _SURE_CJK = regex.compile(r"[。！？](?=[\p{Han}\p{Hiragana}\p{Katakana}])")
 
 
 def language(text: str) -> str:
     """Language (or script, where that is enough) by the letters and commonest words."""
-    seen = Counter(m.lastgroup for m in _LETTERS.finditer(text[:2000]))
-    seen = seen if len(text) <= 2000 else Counter(m.lastgroup for m in _LETTERS.finditer(text))
-    if not seen:
+    if text.isascii() or not _OTHER.search(text):
+        script = "latin" if _RUNS["latin"].search(text) else None
+    else:
+        seen = {k: n for k, p in _RUNS.items() if (n := sum(map(len, p.findall(text))))}
+        script = max(sorted(seen), key=lambda k: seen[k] * (2 if k in ("cjk", "th") else 1)) if seen else None
+    if script is None:
         return "xx"
-    script = max(sorted(seen), key=lambda k: seen[k] * (2 if k in ("cjk", "thai") else 1))
     if script == "cjk":
         return "ja" if regex.search(r"[\p{Hiragana}\p{Katakana}]", text) else "zh"
     if script != "latin":
-        return {"thai": "th", "cyr": "ru", "dev": "hi"}[script]
+        return script
     words = Counter(_WORD.findall(text.casefold()))
-    # words of one language alone count twice
-    score = {k: sum(words[w] * (1 if any(w in other for j, other in COMMON.items() if j != k) else 2) for w in own) for k, own in COMMON.items()}
+    score = {k: sum(words[w] * n for w, n in own.items() if w in words) for k, own in _WEIGHTS.items()}
     best = max(sorted(score), key=score.get)
     return best if score[best] else "xx"
 
 
 def _pair(text: str, at: int) -> tuple[str, str]:
     """The next two words from a place, folded; words with digits are '#'."""
-    fold = lambda w: "#" if any(c.isnumeric() for c in w) else w.casefold()
+    fold = lambda w: "#" if any(map(str.isnumeric, w)) else w.casefold()
     m = _WORD.search(text, at)
     if not m:
         return "", ""
@@ -191,9 +199,10 @@ def _period_counts(model: Model):
             w, end = m[0].casefold(), m.end()
             dotted = text[end : end + 1] == "." and text[end + 1 : end + 2] not in (".", "…")
             seen["dots" if dotted else "plains", ""] += 1
-            if len(w) > LONGEST or any(c.isnumeric() for c in w) and not dotted:
-                continue
-            w = "#" if any(c.isnumeric() for c in w) else w
+            if any(map(str.isnumeric, w)):
+                if not dotted:
+                    continue
+                w = "#"
             if not dotted:
                 seen["plain", w] += 1
                 continue
@@ -204,8 +213,7 @@ def _period_counts(model: Model):
             if after > end + 1 and after < len(text) and not model.starts(text, after, lang) or text[after : after + 1] in tuple(GOES_ON):
                 seen["middle", w] += 1
                 a, _ = _pair(text, after)
-                if len(a) <= LONGEST:
-                    seen["around", f"{w} {a}"] += 1
+                seen["around", f"{w} {a}"] += 1
         return seen
 
     return counts
@@ -375,7 +383,7 @@ def _ends(text: str, a: int, b: int, lang: str, last: bool, mono: bool, model: M
             else:
                 # a doubled ellipsis is an end mark of its own in these scripts
                 done = len(mark) > 1 and dots or begins and (dots or bool(m.start() and _CJK.match(text[m.start() - 1])))
-        elif "।" in mark or "॥" in mark:
+        elif any(c in mark for c in "।॥۔։።"):
             done = True
         elif dots:
             done = begins and (mono or big(then) or bool(_LIST.match(text, then)))
@@ -446,4 +454,7 @@ def sentence_units(documents: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(begin, pa.int64()), pa.array(end, pa.int64())], names=["doc_id", "begin_pos", "end_pos"])
 
     kind = documents.schema[id_col].dataType.simpleString()
-    return documents.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, begin_pos bigint, end_pos bigint").distinct()
+    found = documents.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, begin_pos bigint, end_pos bigint")
+    # only repeated ids can repeat units: sentences are shuffled where there are any, ids otherwise
+    repeated = documents.groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
+    return found.distinct() if repeated else found
