@@ -27,7 +27,7 @@ def run(spark, data, bits):
 def test_random_against_brute_force_across_shard_edges(spark, rows):
     rng = random.Random(1)
     for bits in (3, 6, 21):
-        data = [(rng.choice("abc"), b := rng.randrange(-200, 400), b + rng.choice([0, 0, 1, 3, 17, 90])) for _ in range(120)]
+        data = [(rng.choice("abc"), b := rng.randrange(-200, 400), b + rng.choice([0, 0, 1, 3, 17, 90, *([300] if bits == 3 else [])])) for _ in range(120)]
         assert rows(run(spark, data, bits)) == brute(data)
 
 
@@ -48,3 +48,19 @@ def test_annotations_round_and_ignore_extra_columns(spark, rows):
     data = [(1, "f", 0, 1.0000000001, 2.0, "x", "p"), (1, "f", 0, 1.0000000001, 2.0, "x", "q"), (2, "f", 0, 2.0000000002, 2.0, "x", None), (3, "f", 0, 3.0, 2.5, "x", ""), (4, "f", None, 1.0, 2.0, "x", ""), (5, "f", 0, float("nan"), 2.0, "x", ""), (6, "f", 0, 1.0, float("inf"), "x", "")]
     df = spark.createDataFrame(data, "annot_id long, file string, channel int, begin_s double, end_s double, label string, kind string")
     assert rows(annotated_periods(df)) == [("f", 0, "x", "period", 1000, 2000)]
+
+
+def test_rows_that_span_many_shards(spark, rows):
+    rng = random.Random(7)
+    for _ in range(3):
+        data = [(rng.choice("ab"), b := rng.randrange(-3000, 3000), b + rng.choice([0, 1, 5, 200, 900])) for _ in range(25)]
+        assert rows(run(spark, data, 3)) == brute(data)
+    far = [("a", 0, 10**16), ("a", 5, 6), ("a", 10**16 + 2, 10**16 + 3), ("b", -(10**15), 0), ("b", 0, 10**15), ("c", 1, 2**62)]
+    assert rows(run(spark, far, 21)) == brute(far[:5])
+
+
+def test_entity_with_most_rows_and_an_end_far_off(spark, rows):
+    data = [(i, "f", 0, i * 2.0, i * 2.0 + (1.0 if i % 7 else 1e13), "hot" if i % 10 else "cold") for i in range(2000)]
+    df = spark.createDataFrame(data, "annot_id long, file string, channel int, begin_s double, end_s double, label string")
+    got = rows(annotated_periods(df).filter("kind = 'period'").groupBy("label").count())
+    assert got == [("cold", 1), ("hot", 7)]  # six short ones lie before the first far end
