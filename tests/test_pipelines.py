@@ -113,10 +113,55 @@ def test_windows_on_tables(spark):
     assert sorted(r.n for r in streams.live_streaks(df, "ts", "1 hour", ["key"]).collect()) == [1, 2]
 
 
-def test_more_sample_rates_than_the_bound_are_an_error(spark):
-    from tidegrid.operators.segment import ClipSettings
-    from tidegrid.plans import pipelines
-
-    waves = spark.range(1001).selectExpr("cast(id as string) file", "0 channel", "cast(id + 1 as int) fs", "array(0f) samples")
-    with pytest.raises(ValueError, match="more than 1000"):
-        pipelines.channel_clips(waves, ClipSettings(fs=64, clip_length_s=1.0, clip_advance_s=1.0))
+def test_any_number_of_sample_rates_is_resampled(spark):
+    waves = spark.range(1200).selectExpr("cast(id as string) file", "0 channel", "cast(id + 64 as int) fs", "transform(sequence(1, cast(id + 64 as int)), x -> cast(x as float)) samples")
+    s = ClipSettings(fs=64, clip_length_s=1.0, clip_advance_s=1.0, normalize=False)
+    got = pipelines.channel_clips(waves.union(spark.createDataFrame([("null", 0, None, [1.0] * 64)], "file string, channel int, fs int, samples array<float>")), s)
+    assert got.count() == 1200
+
+
+def test_trailing_clips_are_touched_and_not_negative(spark, rows):
+    s = ClipSettings(fs=1, clip_length_s=20.0, clip_advance_s=15.0, trailing=True)
+    axis = spark.createDataFrame([("f", 0, 48)], "file string, channel int, n bigint")
+    own = spark.createDataFrame([(1, "f", 0, "x", 44, 47)], "annot_id long, file string, channel int, label string, a0 bigint, a1 bigint")
+    touched = coverage.touched_clips(own, axis, s)
+    assert rows(touched, "clip_idx", "clip_start", "overlap") == [(2, 28, 4)]
+    assert rows(coverage.negative_clips(segment.clip_grid(axis, s), touched, s, 0.0), "clip_start") == [(0,), (15,)]
+
+
+def test_salvaged_clips_are_resampled_like_the_others(spark):
+    ramp = [float(i) / 1000 for i in range(400)]
+    waves = spark.createDataFrame([("f", 0, 20, ramp)], "file string, channel int, fs int, samples array<float>")
+    found = spark.createDataFrame([(1, "f", 0, "x", 5.5, 5.9)], "annot_id long, file string, channel int, label string, begin_s double, end_s double")
+    classes = spark.createDataFrame([("x", 0, False)], "label string, class_idx int, is_negative boolean")
+    s = ClipSettings(fs=10, clip_length_s=1.0, clip_advance_s=1.0, normalize=False)
+    found = found.union(spark.createDataFrame([(2, "f", 0, "x", 7.75, 8.35)], found.schema))
+    clips = {r.clip_start: r.clip for r in pipelines.prepare(waves, found, classes, s, salvage=True)[0].collect()}
+    assert set(clips) == {50, 76}
+    for start, clip in clips.items():
+        assert abs(clip[0] / 32768 - start / 500) < 2e-3 and abs(clip[9] / 32768 - (start + 9) / 500) < 2e-3
+
+
+def test_blocks_give_the_clips_of_the_whole(spark, tmp_path):
+    from tidegrid.sources import audio
+
+    x = np.random.default_rng(1).normal(0, 0.2, (2, 48 * 21 + 13))
+    audio.write_wav(str(tmp_path / "a.wav"), x, 48)
+    for normalize, trailing, fs in ((False, True, 48), (True, False, 48), (False, True, 16)):
+        s = ClipSettings(fs=fs, clip_length_s=2.0, clip_advance_s=1.5, trailing=trailing, normalize=normalize)
+        whole = {(r.channel, r.clip_idx, r.clip_start): r.clip for r in pipelines.channel_clips(audio.load_audio(spark, str(tmp_path)), s).collect()}
+        blocks = pipelines.channel_clips(audio.load_audio(spark, str(tmp_path), block_s=4, context_s=15), s).collect()
+        assert len(blocks) == len(whole) > 20
+        for r in blocks:
+            assert np.allclose(r.clip, whole[r.channel, r.clip_idx, r.clip_start], atol=1e-5)
+
+
+def test_decoder_of_the_caller(spark, tmp_path):
+    from tidegrid.sources import audio
+
+    (tmp_path / "a.MP3").write_bytes(b"12345678")
+    (tmp_path / "b.mp3").write_bytes(b"")
+    decoders = {".mp3": lambda data: (4, np.frombuffer(data, np.uint8)[None] / 256) if data else 1 / 0}
+    got = {r.file: r for r in audio.load_audio(spark, str(tmp_path), decoders=decoders).collect()}
+    assert got["a.MP3"].fs == 4 and len(got["a.MP3"].samples) == 8
+    assert "b.mp3" not in got or got["b.mp3"].status

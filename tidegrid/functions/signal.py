@@ -6,6 +6,8 @@ kernels behind Arrow pandas UDFs. Null arrays stay null, empty arrays stay empty
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -92,19 +94,46 @@ def _sections(zeros: np.ndarray, poles: np.ndarray, gain: float) -> np.ndarray:
     return sections
 
 
+#: Samples that a section takes in one step.
+FILTER_BLOCK = 256
+
+
+def _block_matrices(a1: float, a2: float, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Answer of ``1 / (1 + a1 z^-1 + a2 z^-2)``: to ``n`` inputs (Toeplitz) and to the two outputs before."""
+    h = np.zeros(n + 2)
+    h[2] = 1.0
+    past = np.zeros((n + 2, 2))
+    past[0, 1], past[1, 0] = 1.0, 1.0  # columns: the output one and two samples before
+    for i in range(2, n + 2):
+        if i > 2:
+            h[i] = -a1 * h[i - 1] - a2 * h[i - 2]
+        past[i] = -a1 * past[i - 1] - a2 * past[i - 2]
+    at = np.arange(n)
+    lower = at[:, None] - at[None]
+    return np.where(lower >= 0, h[2:][np.clip(lower, 0, None)], 0.0), past[2:]
+
+
 def _run_sections(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Sections over the last axis, starting in the steady state of the first sample; rows at once."""
+    """Sections over the last axis, starting in the steady state of the first sample; rows at once.
+
+    Each section is run in blocks of ``FILTER_BLOCK`` samples: the moving-average part is a sum of
+    shifted inputs, the recursive part a product with the block's answer and the two outputs before.
+    """
     y = x.astype(float).copy()
-    level = y[:, 0].copy()
     for b0, b1, b2, _, a1, a2 in sos:
         dc = (b0 + b1 + b2) / (1 + a1 + a2)
-        z1, z2 = (dc - b0) * level, (b2 - a2 * dc) * level
-        for n in range(y.shape[1]):
-            v = y[:, n]
-            out = b0 * v + z1
-            z1, z2 = b1 * v - a1 * out + z2, b2 * v - a2 * out
-            y[:, n] = out
-        level = dc * level
+        first = y[:, :1]
+        ext = np.concatenate([first, first, y], axis=1)
+        drive = b0 * ext[:, 2:] + b1 * ext[:, 1:-1] + b2 * ext[:, :-2]
+        step = min(FILTER_BLOCK, y.shape[1])
+        answer, past = _block_matrices(a1, a2, step)
+        last = dc * np.repeat(first, 2, axis=1)
+        for i in range(0, y.shape[1], step):
+            own = drive[:, i : i + step]
+            n = own.shape[1]
+            out = own @ answer[:n, :n].T + last @ past[:n].T
+            y[:, i : i + n] = out
+            last = out[:, [-1, -2]] if n > 1 else np.stack([out[:, 0], last[:, 0]], 1)
     return y
 
 
@@ -158,23 +187,37 @@ def zero_phase_filter(order: int, edges, kind: str, fs: float):
     return run
 
 
+#: Output samples that are computed at a time.
+RESAMPLE_BLOCK = 4096
+
+
 def resample(x: np.ndarray, old: int, new: int, half_width: int = 64, beta: float = 14.77) -> np.ndarray:
-    """Band-limited resampling by a Kaiser-windowed sinc; ``ceil(n * new / old)`` samples."""
-    if old == new:
+    """Band-limited resampling by a Kaiser-windowed sinc; ``ceil(n * new / old)`` samples.
+
+    Output positions repeat their phase every ``new / gcd`` samples, so one kernel per phase is made,
+    and blocks of outputs of a phase are products of strided input windows with its kernel.
+    """
+    if old == new or not x.shape[-1]:
         return x
+    g = math.gcd(old, new)
+    up, down = new // g, old // g
     n = -(-x.shape[-1] * new // old)
     cutoff = min(1.0, new / old)
     width = half_width / cutoff
-    t = np.arange(n) * (old / new)
-    first = np.floor(t).astype(int) - int(np.ceil(width)) + 1
-    taps = np.arange(2 * int(np.ceil(width)))
-    at = first[:, None] + taps
-    d = t[:, None] - at
-    inside = np.clip(1 - (d / width) ** 2, 0, None)
-    kernel = cutoff * np.sinc(cutoff * d) * np.i0(beta * np.sqrt(inside)) / np.i0(beta) * (np.abs(d) <= width)
-    ok = (at >= 0) & (at < x.shape[-1])
-    values = np.where(ok, x[..., np.clip(at, 0, x.shape[-1] - 1)], 0.0)
-    return (values * kernel).sum(-1)
+    reach = int(np.ceil(width))
+    padded = np.pad(x, [(0, 0)] * (x.ndim - 1) + [(reach, reach + down)])
+    frames = np.lib.stride_tricks.sliding_window_view(padded, 2 * reach, axis=-1)
+    out = np.empty((*x.shape[:-1], n))
+    taps = np.arange(2 * reach) - reach + 1
+    for phase in range(min(up, n)):
+        whole, rest = divmod(phase * down, up)
+        d = rest / up - taps
+        kernel = cutoff * np.sinc(cutoff * d) * np.i0(beta * np.sqrt(np.clip(1 - (d / width) ** 2, 0, None))) / np.i0(beta) * (np.abs(d) <= width)
+        at = whole + 1 + down * np.arange(len(range(phase, n, up)))
+        for k in range(0, len(at), RESAMPLE_BLOCK):
+            some = at[k : k + RESAMPLE_BLOCK]
+            out[..., phase + k * up : phase + (k + len(some)) * up : up] = frames[..., some[0] : some[-1] + 1 : down, :] @ kernel
+    return out
 
 
 def resample_to(old: int, new: int):
@@ -185,3 +228,18 @@ def resample_to(old: int, new: int):
         return by_length(clips, lambda x: resample(x, old, new))
 
     return run
+
+
+def resampler(new: int):
+    """Column function (rate, samples): each row from its own rate to ``new``; a null rate gives null."""
+
+    @F.pandas_udf("array<double>")
+    def run(rates: pd.Series, clips: pd.Series) -> pd.Series:
+        out: list = [None] * len(clips)
+        for rate in rates.dropna().unique():
+            at = np.flatnonzero((rates == rate).to_numpy())
+            for i, y in zip(at, by_length(clips.iloc[at].reset_index(drop=True), lambda x, old=int(rate): resample(x, old, new)), strict=True):
+                out[i] = y
+        return pd.Series(out)
+
+    return run

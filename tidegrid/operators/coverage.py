@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.operators.segment import ClipSettings
+from tidegrid.operators.segment import ClipSettings, has_trailing
 
 
 def sample_annotations(annotations: DataFrame, fs: int) -> DataFrame:
@@ -26,15 +26,20 @@ def sample_annotations(annotations: DataFrame, fs: int) -> DataFrame:
 
 
 def touched_clips(annotations: DataFrame, axis: DataFrame, s: ClipSettings) -> DataFrame:
-    """Annotation x regular clip pairs that overlap: adds clip_idx, clip_start and overlap."""
+    """Annotation x clip pairs that overlap, the trailing clip included: adds clip_idx, clip_start, overlap."""
     length, advance = s.length, s.advance
     rows = annotations.join(axis, ["file", "channel"])
     n_clips = F.when(F.col("n") >= length, F.floor((F.col("n") - length) / advance) + 1).otherwise(0)
     lo = F.greatest(F.lit(0).cast("bigint"), F.ceil((F.col("a0") - length + 1) / F.lit(advance)))
     hi = F.least(n_clips - 1, F.floor(F.col("a1") / F.lit(advance)))
-    rows = rows.withColumns({"lo": lo, "hi": hi}).filter("lo <= hi")
-    rows = rows.select(*annotations.columns, F.explode(F.sequence("lo", "hi")).alias("clip_idx"))
-    rows = rows.withColumns({"clip_idx": F.col("clip_idx").cast("int"), "clip_start": F.col("clip_idx") * advance})
+    place = lambda idx, start: F.struct(idx.cast("int").alias("clip_idx"), start.cast("bigint").alias("clip_start"))
+    none = F.array().cast("array<struct<clip_idx:int,clip_start:bigint>>")
+    clips = F.when(F.col("lo") <= F.col("hi"), F.transform(F.sequence("lo", "hi"), lambda i: place(i, i * advance))).otherwise(none)
+    if s.trailing:
+        start = F.col("n") - length
+        last = F.when(has_trailing(F.col("n"), s) & (F.col("a1") >= start) & (F.col("a0") < F.col("n")), F.array(place(F.col("n_clips"), start))).otherwise(none)
+        clips = F.concat(clips, last)
+    rows = rows.withColumns({"lo": lo, "hi": hi, "n_clips": n_clips}).select(*annotations.columns, F.explode(clips).alias("c")).select(*annotations.columns, "c.*")
     return rows.withColumn("overlap", F.least("a1", F.col("clip_start") + (length - 1)) - F.greatest("a0", "clip_start") + 1)
 
 
@@ -86,10 +91,11 @@ def adjusted(cov: Column, min_fraction: float) -> Column:
     return F.when(cov >= min_fraction, 1.0).when(cov >= min_fraction / 3, cov).otherwise(0.0)
 
 
-def prepared_labels(by_class: DataFrame, min_fraction: float) -> DataFrame:
-    """Label values of the clips that some class covers far enough."""
-    keep = by_class.groupBy("file", "channel", "clip_idx").agg(F.max("cov").alias("top")).filter(F.col("top") >= min_fraction).drop("top")
-    kept = by_class.join(keep, ["file", "channel", "clip_idx"], "left_semi")
+def prepared_labels(by_class: DataFrame, min_fraction: float, clip: str = "clip_idx") -> DataFrame:
+    """Label values of the clips that some class covers far enough; ``clip`` tells clips of a channel apart."""
+    place = ["file", "channel", clip]
+    keep = by_class.groupBy(*place).agg(F.max("cov").alias("top")).filter(F.col("top") >= min_fraction).drop("top")
+    kept = by_class.join(keep, place, "left_semi")
     return kept.withColumn("label_value", adjusted(F.col("cov"), min_fraction)).drop("cov")
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidegrid.operators.matching import match_detections
-from tidegrid.operators.streaks import detections
+from tidegrid.operators import streaks
+from tidegrid.operators.matching import covered_parts, covers, match_detections
 
 #: Thresholds 0, 0.05, ... 1.
 THRESHOLDS = tuple(round(0.05 * k, 2) for k in range(21))
@@ -63,12 +63,25 @@ def interval_counts(truth: DataFrame, found: DataFrame, min_gt: float = 0.5, min
     return a.join(b, "class_idx", "full").select("class_idx", *[F.coalesce(c, zero).alias(c) for c in ("tp", "tp_plus_fp", "recall_num", "recall_den")])
 
 
-def processed_counts(scores: DataFrame, truth: DataFrame, fs: int, length: int, thresholds, nonmax: bool = False, squeeze: tuple[int, int] | None = None, min_gt: float = 0.5, min_det: float = 0.5) -> DataFrame:
-    """Interval counts of post-processed scores at each of a few thresholds."""
-    out = None
-    for t in thresholds:
-        found = detections(scores, length, t, nonmax, squeeze)
-        found = found.select("file", "channel", "class_idx", F.xxhash64("file", "channel", "class_idx", "start_samp").alias("id"), (F.col("start_samp") / fs).alias("b"), (F.col("end_samp") / fs).alias("e"))
-        part = interval_counts(truth, found, min_gt, min_det).withColumn("threshold", F.lit(float(t)))
-        out = part if out is None else out.unionByName(part)
-    return out
+def processed_counts(scores: DataFrame, truth: DataFrame, fs: int, length: int, thresholds=THRESHOLDS, nonmax: bool = False, squeeze: tuple[int, int] | None = None, min_gt: float = 0.5, min_det: float = 0.5) -> DataFrame:
+    """Interval counts of post-processed scores at each threshold, in one pass.
+
+    Each live score is a row at every threshold it passes, and the threshold is part of its series; the
+    truth is not multiplied: what the detections of each threshold cover of it is added up.
+    """
+    keys, series = ["file", "channel", "class_idx"], [*streaks.SERIES, "threshold"]
+    live = streaks.live_scores(scores)
+    live = streaks.top_class(live) if nonmax else live
+    live = live.withColumn("threshold", F.explode(F.filter(F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: F.col("score") >= t)))
+    found = streaks.combine_streaks(live, length, series) if squeeze is None else streaks.squeeze_streaks(live, length, *squeeze, series)
+    found = found.select(*series, F.xxhash64(*series, "start_samp").alias("id"), (F.col("start_samp") / fs).alias("b"), (F.col("end_samp") / fs).alias("e"))
+    real = truth.select(*keys, "id", "b", "e").dropna().filter("e >= b")
+    den = real.groupBy("class_idx").agg(F.count("*").alias("recall_den"), F.count(F.when(F.col("e") == F.col("b"), 1)).alias("points"))
+    part = covered_parts(real, found, keys, by=("threshold",)).join(real.filter("e > b").select("id", "class_idx", "b", "e"), "id")
+    recalled = part.filter(covers(F.col("covered"), min_gt)).groupBy("class_idx", "threshold").agg(F.count("*").alias("recalled"))
+    hit = found.join(covered_parts(found, real, keys), "id", "left").withColumn("ok", covers(F.coalesce("covered", F.lit(0.0)), min_det))
+    hit = hit.groupBy("class_idx", "threshold").agg(F.count(F.when(F.col("ok"), 1)).alias("tp"), F.count("*").alias("tp_plus_fp"))
+    everywhere = den.select("class_idx", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold"), "recall_den", "points")
+    out = everywhere.join(recalled, ["class_idx", "threshold"], "left").join(hit, ["class_idx", "threshold"], "full")
+    n = lambda *c: sum((F.coalesce(x, F.lit(0).cast("bigint")) for x in c), F.lit(0).cast("bigint"))
+    return out.select("threshold", "class_idx", n("tp").alias("tp"), n("tp_plus_fp").alias("tp_plus_fp"), n("recalled", "points").alias("recall_num"), n("recall_den").alias("recall_den"))

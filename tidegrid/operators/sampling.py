@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from tidegrid.store import broadcast_if_small
 
 
+#: Parts that a class is sorted in when a cap is given.
+SALTS = 64
+
+
 def shuffled(key: str, seed: int) -> Column:
     return F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))))
 
@@ -22,10 +26,17 @@ def pick_per_class(rows: DataFrame, class_col: str, key: str, seed: int, cap: in
     The first ``cap`` rows of the class's random order are kept, and the last half-even rounded
     ``validation`` share of those is for validation. A row with several classes may be picked by each.
     """
-    rank = F.row_number().over(W.partitionBy(class_col).orderBy(shuffled(key, seed), key))
+    order = [shuffled(key, seed), key]
     total = rows.groupBy(class_col).agg(F.count("*").alias("n"))
+    first = rows
+    if cap is not None:
+        # the first of each salt hold the first of all, so a hot class is sorted in parts
+        salt = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(SALTS))
+        first = rows.withColumn("__salt", salt).withColumn("__rank", F.row_number().over(W.partitionBy(class_col, "__salt").orderBy(*order)))
+        first = first.filter(F.col("__rank") <= cap).drop("__salt", "__rank")
     kept = F.least("n", F.lit(cap)) if cap is not None else F.col("n")
-    out = rows.withColumn("rank", rank).join(broadcast_if_small(total), class_col).withColumn("kept", kept).filter("rank <= kept")
+    out = first.withColumn("rank", F.row_number().over(W.partitionBy(class_col).orderBy(*order)))
+    out = out.join(broadcast_if_small(total), class_col).withColumn("kept", kept).filter("rank <= kept")
     return out.withColumn("part", F.when(F.col("rank") > F.col("kept") - F.rint(F.col("kept") * validation), "validation").otherwise("train")).drop("n", "kept")
 
 

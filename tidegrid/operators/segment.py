@@ -44,15 +44,18 @@ def recordings_axis(recordings: DataFrame, fs: int) -> DataFrame:
     return own.dropna().groupBy("file", "channel").agg(F.max("n").alias("n"))
 
 
+def has_trailing(n: Column, s: ClipSettings) -> Column:
+    """Does a recording of ``n`` samples leave enough behind its last regular clip?"""
+    left = F.pmod(n - s.length, F.lit(s.advance).cast("bigint"))
+    return (n >= s.length) & (left > 0) & (left >= min(s.length // 2, s.length - s.advance))
+
+
 def clip_starts(n: Column, s: ClipSettings) -> Column:
     """Array of the start samples of all clips of a recording of ``n`` samples."""
     length, advance = F.lit(s.length).cast("bigint"), F.lit(s.advance).cast("bigint")
-    last = F.floor((n - length) / advance) * advance
-    regular = F.sequence(F.lit(0).cast("bigint"), last, advance)
+    regular = F.sequence(F.lit(0).cast("bigint"), F.floor((n - length) / advance) * advance, advance)
     if s.trailing:
-        left = n - length - last
-        needed = min(s.length // 2, s.length - s.advance)
-        regular = F.when((left > 0) & (left >= needed), F.concat(regular, F.array(n - length))).otherwise(regular)
+        regular = F.when(has_trailing(n, s), F.concat(regular, F.array(n - length))).otherwise(regular)
     return F.when(n >= length, regular).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -78,6 +81,29 @@ def cut_clips(waves: DataFrame, s: ClipSettings, keys: list[str], offset_s: floa
     return rows.select(*keys, "clip_idx", (F.col("at") + shift).alias("clip_start"), F.slice("samples", (F.col("at") + 1).cast("int"), F.lit(s.length)).alias("clip"))
 
 
+def cut_blocks(blocks: DataFrame, s: ClipSettings, keys: list[str]) -> DataFrame:
+    """Clips of recordings that come in blocks: (keys, clip_idx, clip_start, clip).
+
+    A row holds ``samples`` from ``start_sample`` on, of a recording of ``n_samples``, and owns the clips
+    that start in [own_first, own_first + own_count). Blocks carry as much context as a clip needs, so
+    nothing is joined; indices and starts are those of the whole recording, the trailing clip included.
+    """
+    length, advance = s.length, s.advance
+    size, start, n = F.size("samples").cast("bigint"), F.col("start_sample"), F.col("n_samples")
+    n_clips = F.when(n >= length, F.floor((n - length) / F.lit(advance)) + 1).otherwise(0).cast("bigint")
+    lo = F.ceil(F.col("own_first") / F.lit(advance))
+    hi = F.least(n_clips - 1, F.ceil((F.col("own_first") + F.col("own_count")) / F.lit(advance)) - 1)
+    place = lambda idx, at: F.struct(idx.cast("int").alias("clip_idx"), at.cast("bigint").alias("clip_start"))
+    none = F.array().cast("array<struct<clip_idx:int,clip_start:bigint>>")
+    clips = F.when(lo <= hi, F.transform(F.sequence(lo, hi), lambda i: place(i, i * advance))).otherwise(none)
+    if s.trailing:
+        own = has_trailing(n, s) & (n - length >= F.col("own_first")) & (n - length < F.col("own_first") + F.col("own_count"))
+        clips = F.concat(clips, F.when(own, F.array(place(n_clips, n - length))).otherwise(none))
+    rows = blocks.filter(size > 0).select(*keys, "samples", "start_sample", F.explode(clips).alias("c"))
+    inside = rows.filter((F.col("c.clip_start") >= start) & (F.col("c.clip_start") + length <= start + size))
+    return inside.select(*keys, "c.clip_idx", "c.clip_start", F.slice("samples", (F.col("c.clip_start") - start + 1).cast("int"), F.lit(length)).alias("clip"))
+
+
 def salvage_clips(unmatched: DataFrame, axis: DataFrame, s: ClipSettings) -> DataFrame:
     """Clips for annotations that no regular clip covers.
 

@@ -30,17 +30,17 @@ def top_class(live: DataFrame) -> DataFrame:
     return best.select("file", "channel", "clip_idx", "b.clip_start", "b.class_idx", (-F.col("b.s")).alias("score"))
 
 
-def _islands(live: DataFrame) -> DataFrame:
-    return live.withColumn("island", F.col("clip_idx") - F.row_number().over(W.partitionBy(*SERIES).orderBy("clip_idx")))
+def _islands(live: DataFrame, series: list[str]) -> DataFrame:
+    return live.withColumn("island", F.col("clip_idx") - F.row_number().over(W.partitionBy(*series).orderBy("clip_idx")))
 
 
-def combine_streaks(live: DataFrame, length: int) -> DataFrame:
+def combine_streaks(live: DataFrame, length: int, series: list[str] = SERIES) -> DataFrame:
     """(series, start_samp, end_samp, score) of maximal streaks; ends are inclusive."""
-    out = _islands(live).groupBy(*SERIES, "island").agg(F.min("clip_start").alias("start_samp"), (F.max("clip_start") + (length - 1)).alias("end_samp"), F.max("score").alias("score"))
+    out = _islands(live, series).groupBy(*series, "island").agg(F.min("clip_start").alias("start_samp"), (F.max("clip_start") + (length - 1)).alias("end_samp"), F.max("score").alias("score"))
     return out.drop("island")
 
 
-def squeeze_streaks(live: DataFrame, length: int, advance: int, min_length: int) -> DataFrame:
+def squeeze_streaks(live: DataFrame, length: int, advance: int, min_length: int, series: list[str] = SERIES) -> DataFrame:
     """Detections narrowed to what groups of overlapping clips share.
 
     In a streak every ``g`` consecutive clips give the group [start of the last, end of the first]
@@ -49,16 +49,16 @@ def squeeze_streaks(live: DataFrame, length: int, advance: int, min_length: int)
     are merged, with the median of their scores.
     """
     group = 1 + (length - min_length) // advance
-    rows = _islands(live)
-    streak = W.partitionBy(*SERIES, "island")
+    rows = _islands(live, series)
+    streak = W.partitionBy(*series, "island")
     ordered = streak.orderBy("clip_idx")
     ahead = ordered.rowsBetween(0, group - 1)
     rows = rows.withColumns({"n": F.count("*").over(streak), "rn": F.row_number().over(ordered), "top": F.max("score").over(ahead), "far": F.max("clip_start").over(ahead)})
     g = F.least(F.lit(group), F.col("n"))
-    groups = rows.filter(F.col("rn") <= F.col("n") - g + 1).select(*SERIES, "island", "rn", F.col("far").alias("gs"), (F.col("clip_start") + (length - 1)).alias("ge"), "top")
-    groups = groups.withColumn("new", F.when(F.lag("ge").over(W.partitionBy(*SERIES, "island").orderBy("rn")) + 1 >= F.col("gs"), 0).otherwise(1))
-    groups = groups.withColumn("part", F.sum("new").over(W.partitionBy(*SERIES, "island").orderBy("rn").rowsBetween(W.unboundedPreceding, 0)))
-    return groups.groupBy(*SERIES, "island", "part").agg(F.min("gs").alias("start_samp"), F.max("ge").alias("end_samp"), F.median("top").alias("score")).drop("island", "part")
+    groups = rows.filter(F.col("rn") <= F.col("n") - g + 1).select(*series, "island", "rn", F.col("far").alias("gs"), (F.col("clip_start") + (length - 1)).alias("ge"), "top")
+    groups = groups.withColumn("new", F.when(F.lag("ge").over(W.partitionBy(*series, "island").orderBy("rn")) + 1 >= F.col("gs"), 0).otherwise(1))
+    groups = groups.withColumn("part", F.sum("new").over(W.partitionBy(*series, "island").orderBy("rn").rowsBetween(W.unboundedPreceding, 0)))
+    return groups.groupBy(*series, "island", "part").agg(F.min("gs").alias("start_samp"), F.max("ge").alias("end_samp"), F.median("top").alias("score")).drop("island", "part")
 
 
 def detections(scores: DataFrame, length: int, threshold: float | None = None, nonmax: bool = False, squeeze: tuple[int, int] | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidegrid.functions import augment, signal, spectral
 from tidegrid.operators import coverage, labels, matching, metrics, sampling, segment, streaks
 from tidegrid.operators.intervals import annotated_periods
-from tidegrid.plans import inputs
+from tidegrid.plans import inputs, pipelines
 from tidegrid.plans.inputs import FS, PREP, PREP_TRAILING, SCORED
 from tidegrid.store import all_rows, broadcast_if_small, table
 
@@ -180,6 +180,77 @@ def salvage_clips(spark, d):
     return segment.salvage_clips(un, inputs.axis(spark, d), PREP)
 
 
+_TTOUCHED = f"""tgrid as (select file, channel, clip_idx, clip_start, clip_start + {T.length - 1} as clip_end from g),
+tt as (select a.*, g.clip_idx, g.clip_start, least(a.a1, g.clip_end) - greatest(a.a0, g.clip_start) + 1 as overlap from ann a join tgrid g on a.file = g.file and a.channel = g.channel and a.a0 <= g.clip_end and a.a1 >= g.clip_start)
+"""
+_TRAILING_CTE = _TRAILING[: _TRAILING.rindex("select file, channel, clip_idx::int")].rstrip() + ",\n" + _TTOUCHED
+
+
+@query(_TRAILING_CTE + f"select file, channel, clip_idx::int as clip_idx, class_idx, round(max(overlap::double / least({T.length}, a1 - a0 + 1)), 6) as cov from tt group by all")
+def coverage_trailing(spark, d):
+    """Coverage of regular and trailing clips by each class."""
+    touched = inputs.touched(spark, d, PREP_TRAILING)
+    return coverage.coverage_by_class(coverage.clip_coverage(touched, PREP_TRAILING)).withColumn("cov", F.round("cov", 6))
+
+
+@query(_TRAILING_CTE + f"select file, channel, clip_idx::int as clip_idx, clip_start::bigint as clip_start from tgrid g where not exists (select 1 from tt where tt.file = g.file and tt.channel = g.channel and tt.clip_idx = g.clip_idx and tt.overlap > 0.1 * {T.length})")
+def negative_clips_trailing(spark, d):
+    grid = segment.clip_grid(inputs.axis(spark, d), PREP_TRAILING)
+    return coverage.negative_clips(grid, inputs.touched(spark, d, PREP_TRAILING), PREP_TRAILING, 0.1).drop("clip_end")
+
+
+_SHORT = segment.ClipSettings(FS, 0.25, 0.15625, trailing=True, normalize=False)
+
+
+@query("select vec_id as file, i::int as clip_idx, s::bigint as clip_start, x[s + 1 : s + 16] as clip from wave, (select unnest([0, 1, 2, 3, 4, 5]) as i, unnest([0, 10, 20, 30, 40, 48]) as s) t")
+def cut_blocks(spark, d):
+    """Clips of waveforms that come in blocks of 20 samples with 16 samples of context; as of the whole."""
+    block = F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(0, FS, 20)])).alias("own_first")
+    rows = inputs.waves(spark, d).select(F.col("vec_id").alias("file"), F.lit(0).alias("channel"), F.lit(FS).alias("fs"), "samples", block)
+    start = F.greatest(F.lit(0), F.col("own_first") - 16)
+    rows = rows.withColumns({"start_sample": start, "own_count": F.least(F.lit(20), FS - F.col("own_first")), "n_samples": F.lit(FS).cast("bigint")})
+    rows = rows.withColumn("samples", F.slice("samples", (start + 1).cast("int"), (F.least(F.lit(FS), F.col("own_first") + 36) - start).cast("int")))
+    return pipelines.channel_clips(rows, _SHORT).drop("channel")
+
+
+def _short_inputs(spark, d):
+    """Waveforms as recordings of one second, each with an annotation of its own."""
+    waves = inputs.waves(spark, d).select(F.col("vec_id").cast("string").alias("file"), F.lit(0).alias("channel"), F.lit(FS).alias("fs"), "samples")
+    first = F.expr("(vec_id * 7) % 60")
+    found = inputs.waves(spark, d).select(
+        F.col("vec_id").alias("annot_id"), F.col("vec_id").cast("string").alias("file"), F.lit(0).alias("channel"), F.when(F.col("vec_id") % 3 == 0, "a").otherwise("b").alias("label"),
+        (first / FS).alias("begin_s"), (F.least(F.lit(63), first + F.expr("vec_id % 11 + 2")) / FS).alias("end_s"),
+    )
+    classes = spark.createDataFrame([("a", 0, False), ("b", 1, False), ("none", 2, True)], "label string, class_idx int, is_negative boolean")
+    return waves, found, classes
+
+
+_PREPARED = """with a as (select vec_id, x, (vec_id * 7) % 60 as a0, least(63, (vec_id * 7) % 60 + vec_id % 11 + 2) as a1, case when vec_id % 3 = 0 then 0 else 1 end as c from wave),
+g as (select a.*, s, greatest(0, least(a1, s + 15) - greatest(a0, s) + 1)::double as o from a, (select unnest([0, 10, 20, 30, 40, 48]) as s) t),
+v as (select *, o / (a1 - a0 + 1) as cov from g),
+hit as (select vec_id, x, s, c from v where cov >= 1),
+neg as (select vec_id, x, s, 2 as c from v where o = 0),
+"""
+_CLIP = "select vec_id::varchar as file, s::bigint as clip_start, list_transform(x[s + 1 : s + 16], lambda y: trunc(least(greatest(y * 32768, -32768), 32767))::smallint) as clip, [(c = 0)::int::float, (c = 1)::int::float, (c = 2)::int::float] as labels from "
+
+
+@query(_PREPARED + "allc as (select * from hit union all select * from neg) " + _CLIP + "allc")
+def prepare_clips(spark, d):
+    """Prepared and negative clips of short waveforms, the trailing one included."""
+    return pipelines.prepare(*_short_inputs(spark, d), _SHORT, max_nonmatch=0.0)[0].drop("channel")
+
+
+@query(_PREPARED + "sal as (select vec_id, x, a0 + (a1 - a0 + 1) // 2 - 8 as s, c from a where vec_id not in (select vec_id from hit)), allc as (select * from hit union all select * from sal where s >= 0 and s + 16 <= 64) " + _CLIP + "allc")
+def prepare_salvage(spark, d):
+    """Prepared clips of short waveforms, with clips of their own for annotations that none covers."""
+    return pipelines.prepare(*_short_inputs(spark, d), _SHORT, salvage=True)[0].drop("channel")
+
+
+@query(_PREPARED + "allc as (select * from hit) select c as class_idx, count(*) as n_clips from allc group by c")
+def prepare_totals(spark, d):
+    return pipelines.prepare(*_short_inputs(spark, d), _SHORT)[1]
+
+
 # ---- scores to detections ----
 
 
@@ -340,15 +411,37 @@ def pr_raw_overall(spark, d):
     return metrics.overall(_raw_counts(spark, d)).select("threshold", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
-@query()
+_BY_THRESHOLD = _SQUEEZE[5:].replace("class_idx, island", "class_idx, threshold, island").replace("class_idx, min(gs)", "class_idx, threshold, min(gs)").replace("from island\n", "from tisland\n")
+_PROCESSED = (
+    _PAIR[: _PAIR.index("det0 as")]
+    + """t as (select round(0.05::double * i, 2) as threshold from range(0, 21) as u(i)),
+tisland as (select l.*, t.threshold, clip_idx - row_number() over (partition by file, channel, class_idx, threshold order by clip_idx) as island from live l join t on l.score >= t.threshold),
+"""
+    + _BY_THRESHOLD[: _BY_THRESHOLD.index("select file, channel, class_idx, threshold, min(gs)")].rstrip()
+    + """,
+det as (select row_number() over () as id, * from (select file, channel, class_idx, threshold, min(gs)::double / 64 as b, max(ge)::double / 64 as e from p group by file, channel, class_idx, threshold, island, part)),
+h as (select g.id as gid, d.id as did, d.threshold, greatest(g.b, d.b) as s, least(g.e, d.e) as u from gt g join det d on g.file = d.file and g.channel = d.channel and g.class_idx = d.class_idx and d.b < g.e and d.e > g.b),
+mg as (select *, max(u) over (partition by gid, threshold order by s, u rows between unbounded preceding and 1 preceding) as r from h),
+cg as (select gid, threshold, sum(greatest(0, u - greatest(s, coalesce(r, s)))) as covered from mg group by gid, threshold),
+md as (select *, max(u) over (partition by did order by s, u rows between unbounded preceding and 1 preceding) as r from h),
+cd as (select did, sum(greatest(0, u - greatest(s, coalesce(r, s)))) as covered from md group by did),
+rc as (select t.threshold, g.class_idx, count(*) filter (where coalesce(c.covered, 0) >= (g.e - g.b) * 0.5 - 1e-9) as rn, count(*) as rd from gt g cross join t left join cg c on c.gid = g.id and c.threshold = t.threshold group by all),
+pc as (select d.threshold, d.class_idx, count(*) filter (where coalesce(c.covered, 0) >= (d.e - d.b) * 0.5 - 1e-9) as tp, count(*) as n from det d left join cd c on c.did = d.id group by all),
+n as (select coalesce(rc.threshold, pc.threshold) as threshold, coalesce(rc.class_idx, pc.class_idx) as class_idx, coalesce(tp, 0)::bigint as tp, coalesce(n, 0)::bigint as tp_plus_fp, coalesce(rn, 0)::bigint as recall_num, coalesce(rd, 0)::bigint as recall_den
+  from rc full join pc on rc.threshold = pc.threshold and rc.class_idx = pc.class_idx)
+"""
+)
+
+
+@query(_PROCESSED + "select * from n")
 def pr_processed_counts(spark, d):
-    """Interval counts of squeezed detections at three thresholds."""
-    return metrics.processed_counts(inputs.scores(spark, d), _truth(spark, d), FS, SCORED.length, (0.2, 0.5, 0.8), squeeze=(SCORED.advance, SCORED.length // 2))
+    """Interval counts of squeezed detections at the thresholds 0, 0.05, ... 1."""
+    return metrics.processed_counts(inputs.scores(spark, d), _truth(spark, d), FS, SCORED.length, squeeze=(SCORED.advance, SCORED.length // 2))
 
 
-@query()
+@query(_PROCESSED + "select threshold, class_idx, case when tp_plus_fp > 0 then round(tp::double / tp_plus_fp, 6) end as precision, round(recall_num::double / recall_den, 6) as recall from n where recall_den > 0")
 def pr_processed(spark, d):
-    return metrics.ratios(pr_processed_counts(spark, d))
+    return metrics.ratios(pr_processed_counts(spark, d)).select("threshold", "class_idx", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
 # ---- feeders ----
@@ -482,19 +575,32 @@ def _spec(spark, d, kind="spec_dbfs"):
     return inputs.waves(spark, d).select("vec_id", spectral.spectrogram(_spectral(kind))("samples").alias("s"))
 
 
-@query()
+def _as_cells(df, column="s", digits=6):
+    rows = df.select("vec_id", F.posexplode(column).alias("f", "row")).select("vec_id", "f", F.posexplode("row").alias("t", "v"))
+    return rows if digits is None else rows.withColumn("v", F.round("v", digits))
+
+
+_MIRROR = lambda i, n: f"(case when {i} < 0 then -({i}) - 1 when {i} >= {n} then {2 * n - 1} - ({i}) else {i} end)"
+_GAUSS = "g as (select j, exp(-j * j / (2 * 0.75::double * 0.75)) as e from range(-3, 4) as u(j)), k as (select j, e / sum(e) over () as k from g)"
+
+
+@query(_DFT + f", {_GAUSS} select a.vec_id, a.f::int as f, a.t::int as t, round(sum(x.k * y.k * b.p), 6) as v from p a cross join k x cross join k y join p b on b.vec_id = a.vec_id and b.f = {_MIRROR('a.f + x.j', 9)} and b.t = {_MIRROR('a.t + y.j', 7)} group by a.vec_id, a.f, a.t")
 def gaussian_blur(spark, d):
-    return _spec(spark, d).select("vec_id", _ROUND2(spectral.on_spectrograms(lambda x: spectral.gaussian_blur(x, 0.75, True))("s")).alias("s"))
+    return _as_cells(_spec(spark, d, "spec").select("vec_id", spectral.on_spectrograms(lambda x: spectral.gaussian_blur(x, 0.75, True))("s").alias("s")))
 
 
-@query()
+_LOG = "g as (select j, exp(-j * j / 2.0::double) as e from range(-4, 5) as u(j)), l as (select j, e / sum(e) over () * (1 - j * j) as k from g), k as (select j, k / (select sum(k) - 2 * sum(k) filter (where j < -2) from l) as k from l)"
+
+
+@query(_DFT + f", {_LOG} select a.vec_id, a.f::int as f, a.t::int as t, round(sum(x.k * b.p), 6) + 0.0::double as v from p a cross join k x join p b on b.vec_id = a.vec_id and b.t = a.t and b.f = {_MIRROR('a.f + x.j', 9)} group by a.vec_id, a.f, a.t")
 def log_filter(spark, d):
-    return _spec(spark, d).select("vec_id", _ROUND2(spectral.on_spectrograms(lambda x: spectral.log_filter(x, (1.0,))[0])("s")).alias("s"))
+    return _as_cells(_spec(spark, d, "spec").select("vec_id", spectral.on_spectrograms(lambda x: spectral.log_filter(x, (1.0,))[0])("s").alias("s"))).withColumn("v", F.col("v") + 0.0)
 
 
-@query()
+@query(_DFT + ", r as (select *, p - min(p) over w as q, max(p) over w - min(p) over w as m from p window w as (partition by vec_id)) select vec_id, f::int as f, t::int as t, round_even(case when m > 0 then q / m else 0 end * 15, 0)::int as v from r")
 def spec_to_palette(spark, d):
-    return _spec(spark, d).select("vec_id", spectral.on_spectrograms(lambda x: spectral.palette_index(x, 16), "array<array<int>>")("s").alias("s"))
+    own = _spec(spark, d, "spec").select("vec_id", spectral.on_spectrograms(lambda x: spectral.palette_index(x, 16), "array<array<int>>")("s").alias("s"))
+    return _as_cells(own, digits=None)
 
 
 @query()
@@ -531,15 +637,36 @@ def aug_noise(spark, d):
     return inputs.waves(spark, d).select("vec_id", augment.gaussian_noise(-20.0, 42)("vec_id", "samples").alias("x"))
 
 
-@query()
+_LINE = "with o as (select i, greatest(0, least(63, (i + 3.5) * 64 / 71.0::double - 0.5)) as place from range(0, 64) as u(i)), l as (select i, floor(place)::int as lo, place - floor(place) as w from o)"
+
+
+@query(_LINE + " select e.vec_id, list(round((1 - w) * x[lo + 1] + w * x[least(lo + 1, 63) + 1], 6) order by i) as x from wave e cross join l group by e.vec_id")
 def aug_pitch(spark, d):
     return inputs.waves(spark, d).select("vec_id", _ROUND(augment.shift_pitch(0.9)("samples")).alias("x"))
 
 
-@query()
+def _stretched(name: str, along: str, n: int, wide: int, mirror: bool) -> str:
+    """SQL of a smear (grown, then cropped) or squish (padded in front, then shrunk) along an axis of ``n`` cells."""
+    across = "t" if along == "f" else "f"
+    first = 1 if name == "smear_t" else 0
+    at = f"(i + 0.5) * {wide} / {n}.0::double - 0.5" if mirror else f"(i + {first} + 0.5) * {n} / {wide}.0::double - 0.5"
+    top = (wide if mirror else n) - 1
+    source = (lambda c: f"(case when {c} < {wide - n} then {wide - n - 1} - {c} else {c} - {wide - n} end)") if mirror else (lambda c: c)
+    low, high = source("lo"), source(f"least(lo + 1, {top})")
+    return f"""select '{name}' as op, a.vec_id, i::int as {along}, a.{across}::int as {across}, round((1 - w) * a.p + w * b.p, 6) as v
+from (select i, floor(place)::int as lo, place - floor(place) as w from (select i, greatest(0, least({top}, {at})) as place from range(0, {n}) as u(i))) l
+join p a on a.{along} = {low} join p b on b.vec_id = a.vec_id and b.{across} = a.{across} and b.{along} = {high}"""
+
+
+_SMEARS = [("smear_f", "f", 9, 11, False), ("smear_t", "t", 7, 8, False), ("squish_f", "f", 9, 11, True), ("squish_t", "t", 7, 9, True)]
+
+
+@query(_DFT + " union all by name ".join(_stretched(*x) for x in _SMEARS))
 def aug_smear_squish(spark, d):
-    s = F.col("s")
-    return _spec(spark, d).select("vec_id", *[_ROUND2(f(s)).alias(n) for n, f in (("smear_f", augment.smear_frequency(2)), ("smear_t", augment.smear_time(-1)), ("squish_f", augment.squish_frequency(2)), ("squish_t", augment.squish_time(-1)))])
+    kernels = {"smear_f": augment.smear_frequency(2), "smear_t": augment.smear_time(-1), "squish_f": augment.squish_frequency(2), "squish_t": augment.squish_time(2)}
+    all_ops = F.array(*[F.struct(F.lit(n).alias("op"), f(F.col("s")).alias("s")) for n, f in kernels.items()])
+    own = _spec(spark, d, "spec").select("vec_id", F.explode(all_ops).alias("o")).select("o.op", "vec_id", F.posexplode("o.s").alias("f", "row"))
+    return own.select("op", "vec_id", "f", F.posexplode("row").alias("t", "v")).withColumn("v", F.round("v", 6))
 
 
 @query()

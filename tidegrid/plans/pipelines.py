@@ -11,71 +11,111 @@ from tidegrid.functions import signal, spectral
 from tidegrid.operators import coverage, labels, metrics, sampling, segment, streaks
 from tidegrid.operators.segment import ClipSettings
 from tidegrid.plans import models
-from tidegrid.store import all_rows
+from tidegrid.store import durable
 
 
-def channel_clips(waves: DataFrame, s: ClipSettings) -> DataFrame:
-    """(file, channel, clip_idx, clip_start, clip) of waveforms (file, channel, fs, samples).
+BLOCK_COLUMNS = ["start_sample", "own_first", "own_count", "n_samples"]
+
+
+def prepared_waves(waves: DataFrame, s: ClipSettings) -> DataFrame:
+    """Waveforms (file, channel, fs, samples) at the settings' rate, filtered as wholes.
 
-    Channels are brought to the settings' rate and filtered as wholes before they are cut.
+    Rows without a rate lose their samples. The places of blocks (``BLOCK_COLUMNS``), where there are
+    any, are brought to the new rate too; blocks begin at whole seconds.
     """
-    rates = [r["fs"] for r in all_rows(waves.select("fs").distinct(), 1000) if r["fs"] is not None]
-    x = F.transform("samples", lambda v: v.cast("double"))
-    for fs in rates:
-        if fs != s.fs:
-            x = F.when(F.col("fs") == fs, signal.resample_to(fs, s.fs)(F.transform("samples", lambda v: v.cast("double")))).otherwise(x)
+    x = signal.resampler(s.fs)(F.col("fs"), F.transform("samples", lambda v: v.cast("double")))
     if s.filterspec is not None:
         order, edges, kind = s.filterspec
         x = signal.zero_phase_filter(order, edges, kind, s.fs)(x)
-    clips = segment.cut_clips(waves.withColumn("samples", x), s, ["file", "channel"])
+    out = waves.withColumn("samples", x)
+    if set(BLOCK_COLUMNS) <= set(waves.columns):
+        scaled = lambda c: F.ceil(c * s.fs / F.col("fs")).cast("bigint")
+        first = scaled(F.col("own_first"))
+        until = scaled(F.col("own_first") + F.col("own_count"))
+        out = out.withColumns({"start_sample": scaled(F.col("start_sample")), "own_first": first, "own_count": until - first, "n_samples": scaled(F.col("n_samples"))})
+    return out.withColumn("fs", F.when(F.col("fs").isNotNull(), F.lit(s.fs)))
+
+
+def _cut(ready: DataFrame, s: ClipSettings) -> DataFrame:
+    blocks = set(BLOCK_COLUMNS) <= set(ready.columns)
+    clips = (segment.cut_blocks if blocks else segment.cut_clips)(ready, s, ["file", "channel"])
     return clips.withColumn("clip", signal.normalizer()(F.col("clip"))) if s.normalize else clips
 
 
+def channel_clips(waves: DataFrame, s: ClipSettings) -> DataFrame:
+    """(file, channel, clip_idx, clip_start, clip) of waveforms (file, channel, fs, samples), or of blocks.
+
+    Channels are brought to the settings' rate and filtered as wholes before they are cut; blocks as
+    they are, so their context must also hold what the filter needs to settle.
+    """
+    return _cut(prepared_waves(waves, s), s)
+
+
+def _near_salvaged(extra: DataFrame, own: DataFrame, axis: DataFrame, s: ClipSettings) -> DataFrame:
+    """Salvage clips with every annotation that overlaps them, met in buckets of a clip's length."""
+    length = F.lit(s.length).cast("bigint")
+    reach = own.drop("annot_id").join(axis, ["file", "channel"]).filter("a0 < n and a1 >= 0")
+    buckets = F.sequence(F.floor(F.greatest("a0", F.lit(0)) / length), F.floor(F.least("a1", F.col("n") - 1) / length))
+    reach = reach.withColumn("bucket", F.explode(buckets)).drop("n")
+    first = F.floor(F.col("clip_start") / length)
+    clips = extra.drop("annot_id").distinct().withColumn("bucket", F.explode(F.array(first, first + 1)))
+    met = clips.join(reach, ["file", "channel", "bucket"]).drop("bucket")
+    return met.withColumn("overlap", F.least("a1", F.col("clip_start") + (s.length - 1)) - F.greatest("a0", "clip_start") + 1).filter("overlap > 0")
+
+
 def prepare(waves: DataFrame, annotations: DataFrame, classes: DataFrame, s: ClipSettings, remap: DataFrame | None = None, min_fraction: float = 1.0, centralized: bool = False, max_nonmatch: float | None = None, salvage: bool = False) -> tuple[DataFrame, DataFrame]:
     """Prepared clips (file, channel, clip_start, clip, labels) and clip counts per class.
 
     ``annotations`` has (annot_id, file, channel, label, begin_s, end_s). With ``max_nonmatch``
     (below ``min_fraction``) clips that overlap nothing become clips of the negative class; with
-    ``salvage`` unmatched annotations get clips of their own. Only recordings that can yield a clip
+    ``salvage`` unmatched annotations get clips of their own, cut from the same resampled and filtered
+    channel as the others (whole channels only, not blocks). Only recordings that can yield a clip
     are decoded when ``waves`` is a lazy scan: without negatives, the others are pruned by a join.
     """
     if max_nonmatch is not None and not max_nonmatch < min_fraction:
         raise ValueError("max_nonmatch must be below min_fraction")
+    blocks = set(BLOCK_COLUMNS) <= set(waves.columns)
+    if salvage and blocks:
+        raise ValueError("salvage clips are cut from whole channels")
     n_classes = classes.agg(F.max("class_idx") + 1).first()[0]
     own = labels.map_labels(coverage.sample_annotations(annotations, s.fs), classes, remap)
     if max_nonmatch is None:
         waves = waves.join(own.select("file").distinct(), "file", "left_semi")
-    axis = waves.select("file", "channel", F.ceil(F.size("samples") * F.lit(s.fs) / F.col("fs")).cast("bigint").alias("n")).filter("n > 0").groupBy("file", "channel").agg(F.max("n").alias("n"))
+    size = F.col("n_samples") if blocks else F.size("samples")
+    axis = waves.select("file", "channel", F.ceil(size * F.lit(s.fs) / F.col("fs")).cast("bigint").alias("n")).filter("n > 0").groupBy("file", "channel").agg(F.max("n").alias("n"))
+    ready = prepared_waves(waves, s)
+    if salvage:
+        ready = durable(ready.select("file", "channel", "fs", "samples"), "waves")
+    place = ("file", "channel", "clip_start")
     touched = coverage.touched_clips(own, axis, s)
     covered = coverage.clip_coverage(touched, s, centralized)
-    values = coverage.prepared_labels(coverage.coverage_by_class(covered), min_fraction).withColumn("clip_start", F.col("clip_idx").cast("bigint") * s.advance).drop("clip_idx")
+    values = coverage.prepared_labels(coverage.coverage_by_class(covered, (*place, "class_idx")), min_fraction, "clip_start")
     if salvage:
         extra = segment.salvage_clips(coverage.unmatched(own, covered, min_fraction), axis, s)
-        extra = extra.join(own.drop("annot_id"), ["file", "channel"]).withColumn("overlap", F.least("a1", F.col("clip_start") + (s.length - 1)) - F.greatest("a0", "clip_start") + 1).filter("overlap > 0")
-        by_class = coverage.coverage_by_class(coverage.clip_coverage(extra, s, centralized), ("file", "channel", "clip_start", "class_idx"))
+        by_class = coverage.coverage_by_class(coverage.clip_coverage(_near_salvaged(extra, own, axis, s), s, centralized), (*place, "class_idx"))
         by_class = by_class.withColumn("label_value", coverage.adjusted(F.col("cov"), min_fraction)).drop("cov")
-        top = by_class.groupBy("file", "channel", "clip_start").agg(F.max("label_value").alias("m")).filter("m = 1.0").drop("m")
-        values = values.unionByName(by_class.join(top, ["file", "channel", "clip_start"], "left_semi")).distinct()
+        top = by_class.groupBy(*place).agg(F.max("label_value").alias("m")).filter("m = 1.0").drop("m")
+        values = values.unionByName(by_class.join(top, [*place], "left_semi")).distinct()
     if max_nonmatch is not None:
         negative = classes.filter("is_negative").select("class_idx").first()[0]
         values = values.filter(F.col("class_idx") != negative)
         free = coverage.negative_clips(segment.clip_grid(axis, s), touched, s, max_nonmatch)
-        values = values.unionByName(free.select("file", "channel", "clip_start", F.lit(negative).cast("int").alias("class_idx"), F.lit(1.0).alias("label_value")))
+        values = values.unionByName(free.select(*place, F.lit(negative).cast("int").alias("class_idx"), F.lit(1.0).alias("label_value")))
     counts = values.filter("label_value = 1.0").groupBy("class_idx").agg(F.count("*").alias("n_clips"))
-    per_clip = values.groupBy("file", "channel", "clip_start").agg(F.map_from_entries(F.collect_set(F.struct("class_idx", "label_value"))).alias("m"))
+    per_clip = values.groupBy(*place).agg(F.map_from_entries(F.collect_set(F.struct("class_idx", "label_value"))).alias("m"))
     hot = F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)).cast("float"))
-    per_clip = per_clip.select("file", "channel", "clip_start", hot.alias("labels"))
-    clips = channel_clips(waves, s).drop("clip_idx")
+    per_clip = per_clip.select(*place, hot.alias("labels"))
+    out = per_clip.join(_cut(ready, s).drop("clip_idx"), [*place])
     if salvage:
-        # clips off the regular grid are cut from the samples by their start
-        regular = per_clip.join(clips, ["file", "channel", "clip_start"])
-        off_grid = per_clip.join(clips.select("file", "channel", "clip_start"), ["file", "channel", "clip_start"], "left_anti").join(waves.select("file", "channel", "samples"), ["file", "channel"])
-        cut = F.slice("samples", (F.col("clip_start") + 1).cast("int"), F.lit(s.length))
-        cut = F.transform(cut, lambda v: v.cast("double"))
-        off_grid = off_grid.withColumn("clip", signal.normalizer()(cut) if s.normalize else cut).drop("samples")
-        out = regular.unionByName(off_grid)
-    else:
-        out = per_clip.join(clips, ["file", "channel", "clip_start"])
+        # clips off the grid: each channel meets the list of its starts once
+        grid = segment.clip_grid(axis, s).select(*place)
+        off = per_clip.join(grid, [*place], "left_anti")
+        starts = off.groupBy("file", "channel").agg(F.collect_list("clip_start").alias("starts"))  # at most one for each sample of a channel
+        cut = ready.join(starts, ["file", "channel"]).select("file", "channel", "samples", F.explode("starts").alias("clip_start"))
+        cut = cut.select(*place, F.slice("samples", (F.col("clip_start") + 1).cast("int"), F.lit(s.length)).alias("clip"))
+        if s.normalize:
+            cut = cut.withColumn("clip", signal.normalizer()(F.col("clip")))
+        out = out.unionByName(off.join(cut, [*place]))
     return out.withColumn("clip", signal.float_to_pcm(F.col("clip"))), counts
 
 
@@ -144,12 +184,14 @@ class SpectralFeeder(Feeder):
 def recognize(spark: SparkSession, clips: DataFrame, model, s: ClipSettings, threshold: float | None = None, scale: bool = False, reject: list[int] | None = None, nonmax: bool = False, squeeze_s: float | None = None, features: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """Raw scores (file, channel, clip_idx, clip_start, class_idx, score) and detections.
 
-    ``clips`` comes from ``channel_clips``. Rejected classes are dropped before post-processing.
+    ``clips`` comes from ``channel_clips``. Rejected classes are dropped before post-processing. The raw
+    scores are written once, so that the model runs once for both results.
     """
     x = F.col("clip") if features is None else features(F.col("clip"))
     raw = models.score_rows(clips.withColumn("scores", models.scorer(spark, model)(x)), ["file", "channel", "clip_idx", "clip_start"])
     if scale:
         raw = raw.withColumn("score", streaks.scaled_score(F.col("score"), len(model.classes)))
+    raw = durable(raw, "scores")
     live = labels.reject_classes(raw, reject or []).filter("score is not null")
     if threshold is not None:
         live = live.filter(F.col("score") >= threshold)

@@ -1,6 +1,7 @@
 """Decoding of recordings: PCM WAV and AIFF, by their own parsers.
 
-Other containers give a row with a status. Information (rate, channels, samples) is a projection of
+Other containers are read by a decoder that the caller gives (``decoders``: ending to a function from
+bytes to (rate, [channel, sample] floats)); without one they give a row with a status. Information (rate, channels, samples) is a projection of
 its own, so files are filtered by length before any sample is decoded.
 """
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 INFO = "file string, fs int, n_channels int, n_samples bigint, duration_s double, status string"
 SAMPLES = "file string, channel int, fs int, start_sample bigint, samples array<float>, status string"
+BLOCKS = "file string, channel int, fs int, start_sample bigint, own_first bigint, own_count bigint, n_samples bigint, samples array<float>, status string"
 
 
 def _chunks(data: bytes, order: str) -> dict[bytes, tuple[int, int]]:
@@ -105,34 +107,51 @@ def audio_info(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return _binary(spark, root, glob).mapInPandas(run, INFO)
 
 
-def load_audio(spark: SparkSession, root: str, glob: str = "*", channels: list[int] | None = None, offset_s: float = 0.0, duration_s: float | None = None, min_s: float = 0.0, max_s: float | None = None, block_s: float | None = None) -> DataFrame:
-    """Samples of every channel; see SAMPLES.
+def opened(file: str, data: bytes, decoders: dict | None):
+    """(rate, channels, samples, reader of [first, count]) of a file's bytes."""
+    own = next((f for ending, f in (decoders or {}).items() if file.lower().endswith(ending.lower())), None)
+    if own is not None:
+        fs, x = own(data)
+        x = np.atleast_2d(np.asarray(x, np.float64))
+        return int(fs), x.shape[0], x.shape[1], lambda first, count: x[:, first : first + count]
+    info = parse(data)
+    return info["fs"], info["channels"], info["n"], lambda first, count: decode(data, info, first, count)
+
+
+def load_audio(
+    spark: SparkSession, root: str, glob: str = "*", channels: list[int] | None = None, offset_s: float = 0.0, duration_s: float | None = None, min_s: float = 0.0,
+    max_s: float | None = None, block_s: int | None = None, context_s: int = 0, decoders: dict | None = None,
+) -> DataFrame:
+    """Samples of every channel; see SAMPLES, or BLOCKS with ``block_s``.
 
     Files outside [min_s, max_s] give no row. Asked-for channels that a file lacks give a row with a
-    status. With ``block_s`` long files come as several rows, so that no row holds hours of sound.
+    status. With ``block_s`` (whole seconds) long files come as several rows, so that no row holds hours
+    of sound; each also holds ``context_s`` seconds before and after the block, of which the clips that
+    begin in the block (and filters) may need some. Places count from the beginning that ``offset_s``
+    leaves, as ``n_samples`` does.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["file", "channel", "fs", "start_sample", "samples", "status"]
+        names = [c.split()[0] for c in (BLOCKS if block_s else SAMPLES).split(", ")]
         for batch in batches:
             for file, data in zip(batch["file"], batch["content"], strict=True):
-                data = bytes(data)
                 try:
-                    info = parse(data)
-                    if not min_s <= info["n"] / info["fs"] <= (max_s if max_s is not None else float("inf")):
+                    fs, n_channels, n, read = opened(file, bytes(data), decoders)
+                    if not min_s <= n / fs <= (max_s if max_s is not None else float("inf")):
                         continue
-                    wanted = list(range(info["channels"])) if channels is None else channels
-                    first = int(round(offset_s * info["fs"]))
-                    count = info["n"] - first if duration_s is None else int(round(duration_s * info["fs"]))
-                    step = max(1, int(round(block_s * info["fs"]))) if block_s else max(1, count)
-                    for at in range(first, min(info["n"], first + count), step):
-                        x = decode(data, info, at, min(step, first + count - at)).astype(np.float32)
-                        rows = [(file, c, info["fs"], at, x[c], None) if c < len(x) else (file, c, info["fs"], at, None, "no such channel") for c in wanted]
-                        yield pd.DataFrame(rows, columns=names)
+                    wanted = list(range(n_channels)) if channels is None else channels
+                    first = min(n, int(round(offset_s * fs)))
+                    count = n - first if duration_s is None else min(n - first, int(round(duration_s * fs)))
+                    step, context = (block_s * fs, context_s * fs) if block_s else (max(1, count), 0)
+                    for at in range(0, count, step):
+                        low, high = max(0, at - context), min(count, at + step + context)
+                        x = read(first + low, high - low).astype(np.float32)
+                        place = (low, at, min(step, count - at), count) if block_s else (first,)
+                        yield pd.DataFrame([(file, c, fs, *place, x[c] if c < len(x) else None, None if c < len(x) else "no such channel") for c in wanted], columns=names)
                 except Exception as x:
-                    yield pd.DataFrame([(file, None, None, None, None, f"{type(x).__name__}: {x}")], columns=names)
+                    yield pd.DataFrame([(file, *[None] * (len(names) - 2), f"{type(x).__name__}: {x}")], columns=names)
 
-    return _binary(spark, root, glob).mapInPandas(run, SAMPLES)
+    return _binary(spark, root, glob).mapInPandas(run, BLOCKS if block_s else SAMPLES)
 
 
 def write_wav(path: str, x: np.ndarray, fs: int) -> None:
