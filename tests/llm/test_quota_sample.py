@@ -23,11 +23,35 @@ def test_class_of_labels(spark):
     assert {r.clip_id: r.class_idx for r in Q.labelled_clips(df).collect()} == {1: 1, 4: 1, 7: 1}
 
 
-def test_newton_reaches_the_moments():
-    n, m = np.array([1000.0, 50.0, 7.0]), np.array([10.0, 49.9, 0.001])
-    assert n * np.exp(Q.tilt(n, m)) == pytest.approx(m, rel=1e-6)
-    got = Q.calibrate(np.array([0.5, 0.3, 0.2, 0.0]), np.array([0, 0, 30, 2]), np.array([1000, 20, 500, 1]), 100)
-    assert got == pytest.approx([50, 20, 30, 1])
+def test_newton_reaches_the_total_within_bounds():
+    calibrate = lambda f, floor, n, size: Q.calibrate(np.array(f), np.array(floor), np.array(n), size)
+    assert calibrate([0.5, 0.3, 0.2], [0, 0, 0], [1000, 900, 800], 100) == pytest.approx([50, 30, 20])
+    # a floor takes from the others, an exhausted class leaves to them
+    assert calibrate([0.5, 0.3, 0.2, 0.0], [0, 0, 30, 2], [1000, 20, 500, 1], 100) == pytest.approx([49, 20, 30, 1])
+    assert calibrate([0.5, 0.5], [0, 0], [1000, 10], 100) == pytest.approx([90, 10])
+    # floors alone exceed the size; too few at hand in all; nothing wanted
+    assert calibrate([0.9, 0.1], [80, 70], [500, 500], 100) == pytest.approx([80, 70])
+    assert calibrate([0.9, 0.1], [0, 0], [5, 6], 100) == pytest.approx([5, 6])
+    assert calibrate([0.0, 0.0], [0, 0], [5, 6], 100) == pytest.approx([0, 0])
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        k = rng.integers(1, 12)
+        n, floor = rng.integers(0, 5000, k), rng.integers(0, 60, k) * rng.integers(0, 2, k)
+        f = rng.dirichlet(np.full(k, 0.4))
+        got = Q.calibrate(f, floor, n, 1000)
+        assert (got <= n + 1e-6).all() and (got >= np.minimum(floor, n) - 1e-6).all()
+        feasible = np.where(f > 0, n, np.minimum(floor, n)).sum() >= 1000 >= np.minimum(floor, n).sum()
+        assert not feasible or got.sum() == pytest.approx(1000, rel=1e-6)
+
+
+def test_sizes_and_repeated_clips(spark):
+    df = clips(spark, {0: 2500, 1: 3006, 2: 40})
+    df = df.union(df.filter("clip_id % 3 = 0")).union(df.limit(500))
+    targets = spark.createDataFrame([(p, c, f, m, 500 + p) for p in range(6) for c, f, m in ((0, 0.4403, 0), (1, 0.1, 120 + p), (2, 0.4597, 0))], TARGETS)
+    assert {r.class_idx: r.at_hand for r in Q.plan_report(df, targets).filter("plan_id = 0").collect()} == {0: 2500, 1: 3006, 2: 40}
+    got = [tuple(r) for r in Q.draw(df, targets).collect()]
+    size = Counter(p for p, _, _ in got)
+    assert len(got) == len(set(got)) and all(abs(size[p] - (500 + p)) <= 1 for p in range(6))
 
 
 def test_gaps_and_sample(spark):

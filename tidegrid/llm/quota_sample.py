@@ -1,16 +1,17 @@
 """Samples that match target class proportions, with floors and a report of gaps.
 
 Class moments are aggregated distributedly (map-side combined counts). On these moments the
-exponential-tilting dual is solved by Newton iterations for every plan: unit ``i`` gets inclusion
-probability ``exp(lambda . x_i)``; classes under their floor, or pushed above what is at hand, are
-fixed there and the dual is solved again for the others. The sample is drawn with these
+exponential-tilting dual is solved by Newton iterations for every plan: a unit of class ``k`` starts
+from ``fraction_k * size / at_hand_k`` and is tilted by ``exp(lambda)`` for the total; classes at their
+floor, or at what is at hand, stay there. The sample is drawn with these
 probabilities by the pivotal method: sequentially within blocks of a class (a hot class has many
 blocks), then among the one undecided unit that each block may leave.
 
 Defined results: a clip's class is the position of the largest of its labels, the first of equals;
 null labels, labels without a positive value, and clips outside the train split have none. NaN and
 null label values count as absent. Target rows with a null field are left out; of rows with the
-same (plan, class) the largest values count. Plans whose targets add up to nothing give no sample.
+same (plan, class) the largest values count. Plans whose targets add up to nothing give no sample. A clip
+that comes in several rows counts once.
 Empty tables give empty results.
 """
 
@@ -37,45 +38,45 @@ def label_class(labels: Column) -> Column:
 
 
 def labelled_clips(prepared: DataFrame, split: str = "train") -> DataFrame:
-    """(clip_id, class_idx) of the clips of a split that have a class; each clip once."""
+    """(clip_id, class_idx) of the clips of a split that have a class; each clip once, in its lowest class."""
     own = prepared.filter(F.col("split") == split).select("clip_id", label_class(F.col("labels")).alias("class_idx"))
-    return own.filter("clip_id is not null and class_idx is not null")
+    return own.dropna().groupBy("clip_id").agg(F.min("class_idx").alias("class_idx"))
 
 
-def tilt(at_hand: np.ndarray, moments: np.ndarray, tolerance: float = 1e-9, steps: int = 100) -> np.ndarray:
-    """Multipliers ``lambda`` of the exponential-tilting dual: ``at_hand * exp(lambda) = moments``.
+def tilt(moments: np.ndarray, low: np.ndarray, high: np.ndarray, total: float, tolerance: float = 1e-9, steps: int = 200) -> float:
+    """Multiplier ``lambda`` of the total in the exponential-tilting dual with bounded classes.
 
-    Newton steps on ``sum(at_hand * exp(lambda)) - lambda . moments``, shortened where they overshoot.
+    Solves ``sum(clip(moments * exp(lambda), low, high)) = total`` by Newton steps on the classes that
+    are off their bounds; a step that leaves the bracket of the root is replaced by its middle.
     """
-    lam = np.zeros(len(at_hand))
+    some = moments > 0
+    lam, least, most = 0.0, -80.0, 80.0
     for _ in range(steps):
-        reached = at_hand * np.exp(lam)
-        gradient = reached - moments
-        if np.all(np.abs(gradient) <= tolerance * np.maximum(1, moments)):
+        raw = moments * np.exp(lam)
+        gradient = np.clip(raw, low, high).sum() - total
+        if abs(gradient) <= tolerance * max(1.0, total):
             break
-        lam -= np.clip(gradient / reached, -1.0, 1.0)
+        least, most = (lam, most) if gradient < 0 else (least, lam)
+        slope = raw[some & (raw > low) & (raw < high)].sum()
+        step = lam - gradient / slope if slope > 0 else np.nan
+        lam = step if least < step < most else (least + most) / 2
     return lam
 
 
 def calibrate(fraction: np.ndarray, floor: np.ndarray, at_hand: np.ndarray, size: float) -> np.ndarray:
-    """Expected clips of each class: its fraction of ``size``, at least its floor, at most what is at hand.
+    """Expected clips of each class, adding up to ``size`` wherever floors and what is at hand allow it.
 
-    Floors and exhausted classes are fixed; the dual is solved for the others until none of them
-    leaves its range. What an exhausted class lacks is a gap, not a larger share for the others.
+    Within its bounds (its floor, what is at hand) each class gets its fraction of ``size`` times one
+    factor, the tilt of the total: what floors add, the other classes give up in proportion, and what an
+    exhausted class lacks, they make up. Floors win if they alone exceed ``size``; a class without a
+    fraction gets its floor.
     """
-    moments, high = fraction * size, at_hand.astype(float)
+    high = at_hand.astype(float)
     low = np.minimum(floor, at_hand).astype(float)
-    result = low.copy()
-    free = (moments > low) & (high > 0)
-    while free.any():
-        expected = high[free] * np.exp(tilt(high[free], moments[free]))
-        over = expected > high[free] * (1 + 1e-9)
-        at = np.flatnonzero(free)
-        result[at] = np.minimum(expected, high[at])
-        if not over.any():
-            break
-        free[at[over]] = False
-    return result
+    moments = fraction * size
+    high = np.where(moments > 0, high, low)
+    total = min(max(size, low.sum()), high.sum())
+    return np.clip(moments * np.exp(tilt(moments, low, high, total)), low, high)
 
 
 def plan_report(prepared: DataFrame, targets: DataFrame) -> DataFrame:
