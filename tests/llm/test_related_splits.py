@@ -66,3 +66,11 @@ def test_assignment_keeps_groups_and_fractions(spark):
         by_group.setdefault(r.group_file, set()).add(r.split)
     assert all(len(s) == 1 for s in by_group.values())
     assert 0.6 < sum(r.split == "train" for r in rows) / len(rows) < 0.8
+
+
+def test_file_of_a_record_is_read_like_a_path(spark):
+    pairs = spark.createDataFrame([("a/One.wav", "t.txt"), ("two.wav", "T.txt")], "audio_path string, annot_path string")
+    records = spark.createDataFrame([(1, "one.wav"), (2, "\tTWO.wav\u00a0"), (3, "x\\two.wav"), (4, None)], "id long, f string")
+    targets = spark.createDataFrame([("train", 0.5), ("test", 0.5)], "split string, fraction double")
+    got = {r.id: r.group_file for r in R.assign_splits(records, "id", "f", pairs, targets).collect()}
+    assert got[1] == got[2] == got[3] == "one.wav" and got[4] == "\0" + "4"

@@ -9,7 +9,7 @@ with map-side combining), so a hot annotation file costs as many rows as it has
 square. Components are then assigned by weighted rendezvous hashing.
 
 Defined results: null, empty and blank paths, and paths that end in a separator, join nothing.
-Repeated pairs change nothing. A file in no pair is its own component, and a record with a null
+Repeated pairs change nothing. A record's file is read like a path. A file in no pair is its own component, and a record with a null
 file is a component of its own record id. Empty tables give empty results.
 """
 
@@ -95,7 +95,7 @@ def assign_splits(records: DataFrame, id_col: str, file_col: str, pairs: DataFra
         raise ValueError(f"between 1 and {MAX_SPLITS} splits with a positive fraction are needed")
     weights = [(r["split"], r["fraction"]) for r in rows]
     groups = related_files(pairs).select(F.col("file").alias("__file"), "group_file")
-    clean = F.lower(F.trim(F.col(file_col)))
+    clean = file_of_path(F.col(file_col))
     out = records.select(F.col(id_col).alias("id"), clean.alias("__key"), F.col(file_col).alias("file")).join(broadcast_if_small(groups), F.col("__key") == F.col("__file"), "left")
     group = F.coalesce("group_file", "__key", F.concat(F.lit("\0"), F.col("id").cast("string")))
     return out.select("id", "file", group.alias("group_file"), rendezvous(group, weights).alias("split"))

@@ -1,10 +1,12 @@
 """Cutoff keeping a target fraction of each source, by multi-sequence selection.
 
-Every partition keeps its scores as one sorted array per source, written once to the shared folder.
+Every partition keeps its scores as sorted arrays, one per source and Arrow batch, written once to the
+shared folder.
 A round takes evenly spaced elements of each array's active range as pivots, has every array rank
 them with ``searchsorted``, adds the ranks up, and narrows the active range of every source at once;
 it ends when the wanted rank falls on a pivot. One source may hold any share of the rows: its
-arrays stay where they were cut, and only pivots and ranks move.
+arrays stay where they were cut, and only pivots and ranks move (beyond ``SOURCES_BROADCAST`` sources
+arrays meet their source's pivots by a shuffle).
 
 Defined results: a repeated id counts once, rows with a null id and null and NaN scores not at all, sources without a
 target (or with a null one) and sources without a score give no row. Ties at the cutoff are all
@@ -46,9 +48,9 @@ def _lists(column: pa.ListArray) -> list[np.ndarray]:
 
 
 def _local_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(source, vals, lo, hi) to evenly spaced elements of the active range, with their weight."""
+    """(source, vals, lo, hi) to evenly spaced elements of the active range."""
     for batch in batches:
-        source, pivot, weight = [], [], []
+        source, pivot = [], []
         los, his = batch.column("lo").to_numpy(zero_copy_only=False), batch.column("hi").to_numpy(zero_copy_only=False)
         for i, vals in enumerate(_lists(batch.column("vals"))):
             a, b = np.searchsorted(vals, los[i], "left"), np.searchsorted(vals, his[i], "right")
@@ -56,10 +58,8 @@ def _local_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 at = np.unique(np.linspace(a, b - 1, min(LOCAL_PIVOTS, b - a)).astype(np.int64))
                 source += [i] * len(at)
                 pivot.append(vals[at])
-                weight.append(np.full(len(at), max(1, (b - a) // len(at)), np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("source").take(pa.array(source, pa.int64())), pa.array(np.concatenate(pivot) if pivot else [], pa.int64()), pa.array(np.concatenate(weight) if weight else [], pa.int64())], names=["source", "pivot", "weight"]
-        )
+        columns = [batch.column("source").take(pa.array(source, pa.int64())), pa.array(np.concatenate(pivot) if pivot else [], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["source", "pivot"])
 
 
 def _ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,8 +91,8 @@ def cutoffs(values: DataFrame, wanted: DataFrame) -> DataFrame:
     )
     while state.filter("cutoff is null").limit(1).count():
         active = state.filter("cutoff is null")
-        local = _beside(arrays, active.select("source", "lo", "hi")).mapInArrow(_local_pivots, "source string, pivot bigint, weight bigint")
-        # a quantile sketch of the weighted local pivots picks the round's pivots; exact ranks follow
+        local = _beside(arrays, active.select("source", "lo", "hi")).mapInArrow(_local_pivots, "source string, pivot bigint")
+        # a quantile sketch of the local pivots picks the round's pivots; exact ranks follow
         shares = F.array(*[F.lit(i / (PIVOTS - 1)) for i in range(PIVOTS)])
         picked = local.groupBy("source").agg(F.array_sort(F.array_distinct(F.percentile_approx("pivot", shares, F.lit(1000)))).alias("pivots"))
         picked = durable(picked, "pivots")
